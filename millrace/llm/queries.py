@@ -1,4 +1,4 @@
-"""Queries of the language-model operators (problems 3, 6, 8, 9, 10) with the SQL that checks them."""
+"""Queries of the language-model operators (problems 3, 5, 6, 8, 9, 10) with the SQL that checks them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.common import table
-from millrace.llm import packing, quantiles, residue, tokens, topn
+from millrace.llm import addresses, packing, quantiles, residue, tokens, topn
 
 CAPACITY = 2048
 EPS = 0.005
@@ -34,6 +34,21 @@ def p3_from_days(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.percentiles(quantiles.combine(days, ["key_kind", "key"], EPS), ["key_kind", "key"], WANTED)
 
 
+# ---- problem 5
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = addresses.pairs_of(addresses.same_places(table(spark, d, "db_locations")))
+    return pairs.select(F.col("id_a").alias("location_id_a"), F.col("id_b").alias("location_id_b"))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each location that shares its place with another, with the place's number (the least location_id)."""
+    groups = addresses.same_places(table(spark, d, "db_locations"))
+    names = groups.groupBy("group").agg(F.min("id").alias("place_id"))
+    return groups.join(names, "group").select(F.col("id").alias("location_id"), "place_id")
+
+
 # ---- problem 6
 
 
@@ -86,6 +101,8 @@ def p10_kinds(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p3_percentiles": p3_percentiles,
     "p3_from_days": p3_from_days,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p6_found": p6_found,
     "p6_ranked": p6_ranked,
     "p8_ids": p8_ids,
