@@ -1,0 +1 @@
+"""Sources of tables: files, databases, memory and custom readers."""
