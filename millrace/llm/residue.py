@@ -1,6 +1,6 @@
 """Problem 10: template residue, filler, error pages and script notices where a text should be.
 
-A cheap trigger expression runs in the JVM and sends on only texts that hold a delimiter or a word of the lexicon. For those,
+One pass of a keyword automaton over each text tells which grammars can match at all, for most texts none. For the others,
 one grammar per delimiter finds placeholders that were never filled, and sentence grammars per language find filler, messages
 of failing programs and demands for scripts. What stands in quotation marks or in code is somebody's quotation and doesn't
 count, and neither does a name in an ambiguous delimiter, as in an aside or in markup, unless it is a field's name; a
@@ -17,12 +17,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+try:
+    import ahocorasick
+except ImportError:  # the keys are then sought one by one
+    ahocorasick = None
+
 #: Names of fields as templates write them, without case, spaces, points and underscores.
 FIELDS = frozenset(
     "product productname item itemname itemtitle store storename shop shopname brand brandname model category customer customername name firstname lastname fullname username user title reviewer author city company price date color colour email "
@@ -160,7 +164,7 @@ FILLER = re.compile(
     re.I,
 )
 
-#: What a text must hold, in lower case, for a grammar to be tried at all. Their union is the trigger in the JVM.
+#: What a text or sentence must hold, in lower case, for a grammar to be tried on it at all.
 KEYS = {
     "placeholder": ("{{", "${", "#{", "<%", "{%", "[[", "%(", "%s", "%d", "$s", "@@", "##", "<<", "*|", "{", "[", "<!--", "&lt;", "__", "undefined", "(null)", "% ", "%", "$", "<", " here)", " qui)", " aquí)", " aqui)", " ici)", " hier)", "(ここに", "（ここに"),
     "filler": (
@@ -197,38 +201,66 @@ def _sentence_around(text: str, at: int) -> str:
     return text[a : min(ends, default=len(text))]
 
 
-def _holds(text: str, keys: tuple[str, ...]) -> bool:
-    return any(k in text for k in keys)
+class _Keys:
+    """The kinds whose keys a text holds, as a set of bits, by one pass over it."""
+
+    def __init__(self):
+        self.bits: dict[str, int] = {}
+        for i, keys in enumerate([*KEYS.values(), _LATIN_KEYS, _QUOTES]):
+            for k in keys:
+                self.bits[k] = self.bits.get(k, 0) | 1 << i
+        self.automaton = None
+        if ahocorasick is not None:
+            self.automaton = ahocorasick.Automaton()
+            for k, b in self.bits.items():
+                self.automaton.add_word(k, b)
+            self.automaton.make_automaton()
+
+    def __call__(self, low: str) -> int:
+        held = 0
+        if self.automaton is None:
+            for k, b in self.bits.items():
+                if held | b != held and k in low:
+                    held |= b
+        else:
+            for _, b in self.automaton.iter(low):
+                held |= b
+        return held
+
+
+_QUOTES = ('"', "“", "«", "„", "「", "『", "‘", "`", "<code>", "<pre>")
+_PLACEHOLDER, _FILLER, _ERROR, _SCRIPT, _LATIN, _QUOTE = (1 << i for i in range(6))
+_keys = _Keys()
 
 
 def kinds(text: str | None) -> list[str]:
     """The kinds of residue in a text."""
     if not text or text.isspace():
         return []
-    low = text.lower()
-    tried = {kind for kind, keys in KEYS.items() if _holds(low, keys)}
-    latin = _holds(low, _LATIN_KEYS)
-    if not tried and not latin:
+    tried = _keys(text.lower())
+    if not tried & ~_QUOTE:
         return []
-    quoted = [m.span() for m in QUOTED.finditer(text)] if _holds(low, ('"', "“", "«", "„", "「", "『", "‘", "`", "<code>", "<pre>")) else []
+    quoted = [m.span() for m in QUOTED.finditer(text)] if tried & _QUOTE else []
 
     def free(at: int) -> bool:
         return not any(a <= at < b for a, b in quoted)
 
     found = []
-    if "placeholder" in tried and (
+    if tried & _PLACEHOLDER and (
         any(free(m.start()) for m in PLAIN.finditer(text))
         or any(free(m.start()) and _field(next(g for g in m.groups() if g)) and not ABOUT.search(_sentence_around(text, m.start())) for m in AMBIGUOUS.finditer(text))
     ):
         found.append("placeholder")
+    if not tried & (_FILLER | _ERROR | _SCRIPT | _LATIN):
+        return found
     bare = _blank(text, quoted)
-    sentences = [(s, s.lower()) for s in _SENTENCE.split(bare) if s]
-    if any(FILLER.search(s) for s, x in sentences if "filler" in tried and _holds(x, KEYS["filler"])) or (latin and any(_latin(s) for s, x in sentences if _holds(x, _LATIN_KEYS))):
+    sentences = [(s, _keys(s.lower())) for s in _SENTENCE.split(bare) if s]
+    if any(x & _FILLER and FILLER.search(s) or x & _LATIN and _latin(s) for s, x in sentences):
         found.append("filler")
     # programs quote by themselves, so their messages are sought in the whole text
-    if "error_page" in tried and (any(ERRORS.search(s) for s, x in sentences if _holds(x, KEYS["error_page"])) or _PROGRAM.search(text)):
+    if tried & _ERROR and (any(x & _ERROR and ERRORS.search(s) for s, x in sentences) or _PROGRAM.search(text)):
         found.append("error_page")
-    if "script_notice" in tried and any(SCRIPTS.search(s) for s, x in sentences if _holds(x, KEYS["script_notice"])):
+    if any(x & _SCRIPT and SCRIPTS.search(s) for s, x in sentences):
         found.append("script_notice")
     return found
 
@@ -261,16 +293,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(names)], names=["id", "kind"])
 
 
-def trigger(text: Column) -> Column:
-    """Holds any of the keys; nothing has residue that doesn't."""
-    low = F.lower(text)
-    return reduce(lambda a, b: a | b, (low.contains(k) for k in dict.fromkeys([*(k for keys in KEYS.values() for k in keys), *_LATIN_KEYS])))
-
-
 def residue(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, kind: the residue found in each row's text. No shuffle; most texts never leave the JVM."""
+    """key, kind: the residue found in each row's text. One narrow pass, no shuffle."""
     kind = df.schema[key].dataType.simpleString()
-    narrow = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).filter(trigger(F.col("text")))
+    narrow = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).filter("text is not null")
     return narrow.mapInArrow(_scan, f"id {kind}, kind string").withColumnsRenamed({"id": key})
 
 
