@@ -11,6 +11,7 @@ from millrace import dialect
 from millrace.common import table
 from millrace.context import EngineContext
 from millrace.functions.aggregates import aggregate
+from millrace.operators import median
 from millrace.operators import relational as R
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings db_employees db_departments db_locations db_jobs db_countries raw_records items".split()
@@ -39,6 +40,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "project_arithmetic": "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) + l_tax, 4) AS net, l_quantity / 4 AS quarter FROM lineitem",
     "project_modulo": "SELECT o_orderkey, o_orderkey % 7 AS rest FROM orders",
     "column_alias": "SELECT c_name AS who, c_acctbal AS balance FROM customer",
+    "bitwise_operators": ("SELECT o_orderkey, o_orderkey & 7 AS a, o_orderkey | 1 AS o, o_orderkey ^ 5 AS x FROM orders", "SELECT o_orderkey, o_orderkey & 7 AS a, o_orderkey | 1 AS o, xor(o_orderkey, 5) AS x FROM orders"),
     "string_concat": "SELECT c_custkey, c_name || '/' || c_mktsegment AS tag FROM customer",
     "scalar_select": "SELECT 1 AS one, 2.5 * 2 AS five, 'x' AS letter, true AS yes",
     "derived_table": "SELECT seg, n FROM (SELECT c_mktsegment AS seg, count(*) AS n FROM customer GROUP BY c_mktsegment) AS t WHERE n > 10",
@@ -72,7 +74,7 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "join_left_residual": "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 300000",
     "join_theta": "SELECT a.n_name AS a, b.r_name AS b FROM nation a JOIN region b ON a.n_regionkey < b.r_regionkey",
     "join_theta_full": "SELECT a.r_regionkey AS a, b.r_regionkey AS b FROM region a FULL JOIN region b ON a.r_regionkey > b.r_regionkey + 1",
-    "join_using": "SELECT department_id, d.department_name, e.employee_id FROM db_employees e JOIN db_departments d USING (department_id) WHERE e.employee_id % 3 = 0",
+    "join_using": "SELECT department_id, d.department_name, e.employee_id FROM db_employees e JOIN db_departments d USING (department_id)",
     "join_cross": "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n",
     "join_comma": "SELECT n.n_name, r.r_name FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey",
     "join_self": "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
@@ -95,6 +97,11 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "having_aggregate": "SELECT job_id, count(*) AS n FROM db_employees GROUP BY job_id HAVING max(salary) > 15000",
     "select_distinct": "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem",
     "count_distinct": "SELECT department_id, count(DISTINCT job_id) AS jobs FROM db_employees GROUP BY department_id",
+    "agg_covar_global": "SELECT round(covar_pop(l_quantity, l_tax), 6) AS c, round(stddev_pop(l_tax), 8) AS s FROM lineitem",
+    "agg_filter": "SELECT department_id, count(*) FILTER (WHERE salary > 10000) AS high FROM db_employees GROUP BY department_id",
+    "group_by_all": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL",
+    "cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
+    "grouping_sets": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())",
     # sort, limit
     "order_by_multi": ("SELECT employee_id, salary, manager_id, loaded_at FROM db_employees ORDER BY salary, manager_id DESC, employee_id, loaded_at LIMIT 500", "SELECT employee_id, salary, manager_id, loaded_at FROM db_employees ORDER BY salary ASC NULLS FIRST, manager_id DESC NULLS LAST, employee_id, loaded_at LIMIT 500"),
     "order_by_position": "SELECT o_totalprice, o_orderkey FROM orders ORDER BY 1 DESC, 2 LIMIT 25",
@@ -106,6 +113,8 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "offset_before_limit": ("SELECT c_custkey FROM customer ORDER BY c_custkey OFFSET 20 LIMIT 10", "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 10 OFFSET 20"),
     # set operations
     "union_all": "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier",
+    "union_three_nested": "SELECT k, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier UNION ALL SELECT n_nationkey FROM nation) u GROUP BY k",
+    "union_ordered": "SELECT c_custkey AS k FROM customer UNION SELECT s_suppkey FROM supplier ORDER BY k DESC LIMIT 40",
     "union_distinct": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "intersect": "SELECT department_id FROM db_employees INTERSECT SELECT department_id FROM db_departments",
     "except": "SELECT department_id FROM db_employees EXCEPT SELECT department_id FROM db_departments",
@@ -140,6 +149,11 @@ def frame_statistics(spark: SparkSession, d: str) -> DataFrame:
     return R.statistics(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity").select("l_returnflag", *(F.round(c, 4).alias(c) for c in ("sum", "mean", "median", "var_samp", "var_pop", "stddev_samp", "stddev_pop")), "count", "min", "max")
 
 
+def exact_median(spark: SparkSession, d: str) -> DataFrame:
+    """Medians by histogram search, for groups of any size."""
+    return median.exact_median(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", small=100).withColumn("median", F.round("median", 4))
+
+
 def frame_aggregates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy("l_linestatus").agg(F.round(aggregate("var", "l_tax"), 6).alias("v"), F.round(aggregate("covar", "l_quantity", "l_tax"), 6).alias("c"))
 
@@ -165,6 +179,7 @@ QUERIES = {k: text(v if isinstance(v, str) else v[0]) for k, v in TEXTS.items()}
     "frame_right_semi": frame_right_semi,
     "frame_like_class": frame_like_class,
     "frame_statistics": frame_statistics,
+    "exact_median": exact_median,
     "frame_aggregates": frame_aggregates,
     "frame_matching_all": frame_matching_all,
     "frame_missing_all": frame_missing_all,
@@ -176,6 +191,7 @@ SQL = {k: v if isinstance(v, str) else v[1] for k, v in TEXTS.items()} | {
     "frame_right_semi": "SELECT d.doc_id FROM documents d SEMI JOIN items i ON i.item_id = d.item_id",
     "frame_like_class": "SELECT p_partkey, p_type FROM part WHERE regexp_full_match(p_type, '[^PS].*')",
     "frame_statistics": "SELECT l_returnflag, round(sum(l_quantity), 4) AS sum, round(avg(l_quantity), 4) AS mean, round(median(l_quantity), 4) AS median, round(var_samp(l_quantity), 4) AS var_samp, round(var_pop(l_quantity), 4) AS var_pop, round(stddev_samp(l_quantity), 4) AS stddev_samp, round(stddev_pop(l_quantity), 4) AS stddev_pop, count(l_quantity) AS count, min(l_quantity) AS min, max(l_quantity) AS max FROM lineitem GROUP BY 1",
+    "exact_median": "SELECT l_returnflag, l_linestatus, round(median(l_extendedprice), 4) AS median FROM lineitem GROUP BY 1, 2",
     "frame_aggregates": "SELECT l_linestatus, round(var_samp(l_tax), 6) AS v, round(covar_samp(l_quantity, l_tax), 6) AS c FROM lineitem GROUP BY 1",
     "frame_matching_all": "SELECT job_id FROM db_employees e WHERE EXISTS (SELECT 1 FROM db_jobs j WHERE j.job_id IS NOT DISTINCT FROM e.job_id)",
     "frame_missing_all": "SELECT country_id FROM db_locations l WHERE NOT EXISTS (SELECT 1 FROM db_countries c WHERE c.country_id IS NOT DISTINCT FROM l.country_id)",

@@ -53,6 +53,7 @@ def test_dialect():
     assert r("select var(x), covar(x, y), variance(x) from t") == "select var_samp(x), covar_samp(x, y), variance(x) from t"
     assert "b LEFT semi JOIN a" in r("select * from a right semi join b on a.x = b.x where b.y = 1")
     assert "c LEFT anti JOIN (a join b on a.x = b.x)" in r("select * from a join b on a.x = b.x right anti join c using (x)")
+    assert "from a, c LEFT semi JOIN b" in r("select * from a, b right semi join c using (x)")
     assert r("select * from t where a like 'x%'") == "select * from t where a like 'x%'"
     with pytest.raises(ValueError):
         r("select * from a right semi join b")
@@ -146,7 +147,7 @@ def test_connections():
     c = dict(server="h", database="d", user="u", password="p")
     assert database.SqlServer(**c).url() == "jdbc:sqlserver://h:1433;databaseName=d"
     assert database.MySql(**c).url() == "jdbc:mysql://h:3306/d"
-    assert database.Postgres(**c, ).url() == "jdbc:postgresql://h:5432/d"
+    assert database.Postgres(**c).url() == "jdbc:postgresql://h:5432/d"
     assert database.Snowflake(account="a", database="d", warehouse="w").url() == "jdbc:snowflake://a.snowflakecomputing.com/?db=d&warehouse=w"
     assert "password" not in database.Postgres(server="h", database="d").options()
     assert O.S3Storage("b", "k", "s").uri("/x/y") == "s3a://b/x/y" and "k" in O.S3Storage("b", "k", "s").conf().values()
