@@ -113,7 +113,7 @@ def _place(layout):
     return run
 
 
-def pack(items: DataFrame, key: str, length: str, capacity: int, slices: int = 64) -> DataFrame:
+def pack(items: DataFrame, key: str, length: str, capacity: int, slices: int | None = None) -> DataFrame:
     """key, part, length, container_id: one row per item, or per piece of an item longer than the capacity."""
     spark = items.sparkSession
     cut = Cut(spark, "packing")
@@ -125,6 +125,8 @@ def pack(items: DataFrame, key: str, length: str, capacity: int, slices: int = 6
     # at most `capacity` rows, whatever the number of items
     counts = {r[0]: r[1] for r in pieces.filter("length > 0").groupBy("length").count().collect()}
     layout = spark.sparkContext.broadcast(_layout(plan(counts, capacity)))
+    # so many that no task numbers more than about a million items
+    slices = slices or max(64, max(counts.values(), default=0) // 1_000_000)
     ranked = sliced_prefix_sum(pieces.withColumn("one", F.lit(1).cast("bigint")), ["length"], ["id", "part"], "one", "rank", slices)
     ready = ranked.select("id", "part", "length", F.col("rank").cast("bigint").alias("rank"), F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("spare"))
     kind = items.schema[key].dataType.simpleString()

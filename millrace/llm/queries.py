@@ -34,6 +34,16 @@ def p3_from_days(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.percentiles(quantiles.combine(days, ["key_kind", "key"], EPS), ["key_kind", "key"], WANTED)
 
 
+def p3_small_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of up to 150 values, whose percentiles are exact."""
+    return p3_percentiles(spark, d).filter("n <= 150").drop("rank_error")
+
+
+_P3_SQL = f"""
+    WITH e AS (SELECT 'department_id' AS key_kind, CAST(department_id AS VARCHAR) AS key, salary FROM db_employees UNION ALL SELECT 'job_id', nullif(upper(trim(job_id)), ''), salary FROM db_employees),
+    r AS (SELECT *, row_number() OVER w AS rank, count(*) OVER (PARTITION BY key_kind, key) AS n FROM e WHERE salary IS NOT NULL WINDOW w AS (PARTITION BY key_kind, key ORDER BY salary))
+    SELECT key_kind, key, n, {", ".join(f"max(CASE WHEN rank = greatest(1, ceil(round({p} * n, 6))) THEN salary END) AS {name}" for name, p in WANTED.items())} FROM r WHERE n <= 150 GROUP BY 1, 2, 3"""
+
 # ---- problem 5
 
 
@@ -101,6 +111,7 @@ def p10_kinds(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p3_percentiles": p3_percentiles,
     "p3_from_days": p3_from_days,
+    "p3_small_groups": p3_small_groups,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p6_found": p6_found,
@@ -112,6 +123,7 @@ QUERIES = {
 }
 
 SQL = {
+    "p3_small_groups": _P3_SQL,
     "p6_found": f"{_P6} SELECT department_id, employee_id FROM r WHERE rank <= 5",
     "p6_ranked": f"{_P6} SELECT department_id, employee_id, salary, rank FROM r WHERE rank <= 5",
 }

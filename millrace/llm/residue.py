@@ -5,7 +5,7 @@ one grammar per delimiter finds placeholders that were never filled, and sentenc
 of failing programs and demands for scripts. What stands in quotation marks or in code is somebody's quotation and doesn't
 count, and neither does a name in an ambiguous delimiter, as in an aside or in markup, unless it is a field's name; a
 sentence that speaks of templates or placeholders as its subject discounts the ambiguous forms, too. Latin filler is told by
-density: most words of the sentence must be of its vocabulary.
+density: most words of the sentence, or a stretch of it, must be of its vocabulary.
 
 Result: one row per id and kind: placeholder, filler, error_page, script_notice.
 
@@ -56,7 +56,7 @@ PLAIN = re.compile(
             r"\{%-?\s*\w+[^%\n]{0,80}%\}",
             rf"\[\[\s*{_NAME}\s*\]\]",
             r"%\([\w.]{1,40}\)[sdr]",
-            r"(?<![\w%])%(?:\d+\$)?[sd](?![\w%])",
+            r"(?<![A-Za-z0-9_%])%(?:\d+\$)?[sd](?![A-Za-z0-9_%])",
             r"(?<![A-Za-z0-9_%])%[^\W\d_][\w.]{1,40}%(?![A-Za-z0-9_])",
             r"(?<![A-Za-z0-9_$])\$[^\W\d_][\w.]{1,40}\$(?![A-Za-z0-9_])",
             r"@@[^\W\d][\w.]{0,40}@@",
@@ -100,8 +100,8 @@ ERRORS = re.compile(
             # English
             rf"(?:^|[.!?|>:]\s*){_THING} {_FAILS}", rf"^\W*(?:http )?(?:error )?{_CODE}\b[\s:|–-]*(?:forbidden|(?:page )?not found|bad gateway|bad request|service unavailable|internal server error|gateway time-?out|too many requests|unauthorized|access denied)", rf"^\W*error {_CODE}{_END}",
             rf"^\W*(?:access denied|page not found|session expired|request timed out|too many requests|service unavailable|internal server error|bad gateway|forbidden|gateway time-?out|server error)\s*(?:\({_CODE}\))?{_END}",
-            r"\bthe upstream server returned an invalid response\b", r"\bour team has been notified of the problem\b", r"\bthe link may be broken or the page may have been moved\b", r"\byou do not have permission to view this\b", r"\byour request was blocked for security reasons\b", r"\bcontact the administrator if the problem persists\b",
-            r"\bplease sign in again to continue\b", r"\bwe need to check your browser first\b", r"\bsome parts of this page will not load\b", rf"\berror {_CODE} - \w", r"^\W*go back to the start page\b", r"^\W*please try again in a few minutes\b",
+            r"\bthe upstream server returned an invalid response\b", r"\bthe page you (?:asked for|requested) could not be\b", r"\bour team has been notified of the problem\b", r"\bthe link may be broken or the page may have been moved\b", r"\byou do not have permission to view this\b", r"\byour request was blocked for security reasons\b", r"\bcontact the administrator if the problem persists\b",
+            r"\bplease sign in again to continue\b", r"\bwe need to check your browser first\b", r"\bsome parts of this page will not load\b", rf"\berror {_CODE} - \w", r"^\W*go back to the start page\b", r"\bplease try again in a few minutes\b",
             # German
             r"\b(?:die (?:seite|anfrage|ressource|bewertung)|der (?:inhalt|artikel)|diese (?:bewertung|seite)) (?:wurde (?:leider )?(?:nicht gefunden|vom server abgelehnt)|konnte (?:leider )?nicht (?:geladen|gefunden|angezeigt) werden|ist (?:derzeit|leider) nicht (?:erreichbar|verfügbar|vorhanden)|existiert nicht)",
             r"\bdie angeforderte seite ist\b", r"\binterner serverfehler\b", rf"(?:^\W*|\bfehler ){_CODE} ?[:–-] ?(?:seite nicht gefunden|zugriff)", rf"^\W*(?:zugriff verweigert|dienst nicht verfügbar|seite nicht gefunden)\b", r"\bihre sitzung ist abgelaufen\b", r"\bbitte versuchen sie es später erneut\b", r"^\W*zurück zur startseite\b",
@@ -265,7 +265,7 @@ def kinds(text: str | None) -> list[str]:
     return found
 
 
-_PROGRAM = re.compile(r"^\W*(?:<p>)?\{\s*\"(?:status|code|error|message)\"\s*:|traceback \(most recent call last\)|\bsqlstate\[|<error>\s*<code>|^\s*file \"[^\"\n]+\", line \d+", re.I | re.M)
+_PROGRAM = re.compile(r"\{\s*\"(?:status|code|error|message)\"\s*:\s*[\d\"]|traceback \(most recent call last\)|\bsqlstate\[|<error>\s*<code>|^\s*file \"[^\"\n]+\", line \d+", re.I | re.M)
 
 
 def _blank(text: str, spans: list[tuple[int, int]]) -> str:
@@ -281,7 +281,16 @@ def _blank(text: str, spans: list[tuple[int, int]]) -> str:
 
 def _latin(sentence: str) -> bool:
     words = _WORD.findall(sentence)
-    return len(words) >= 4 and sum(w.lower() in LATIN for w in words) >= 0.6 * len(words)
+    known = [w.lower() in LATIN for w in words]
+    if len(words) >= 4 and sum(known) >= 0.6 * len(words):
+        return True
+    # in a longer sentence, a stretch of such words
+    run = long = 0
+    for w, k in zip(words, known):
+        run, long = (run + 1, long + (len(w) > 4)) if k else (0, 0)
+        if run >= 4 and long >= 2:
+            return True
+    return False
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
