@@ -57,6 +57,27 @@ def _bad_records_sql() -> str:
         SELECT record_id FROM s WHERE NOT good"""
 
 
+def _typed_records_sql(feed: str) -> str:
+    """The valid records of a feed, taken apart by one regular expression, unquoted and cast."""
+    free = r' *(?:"(?:[^"]|"")*"|[^",\r\n]*) *'
+    names = [c for c, _ in records.FEEDS[feed]]
+    pattern = ",".join(f"({free})" for _ in names).replace("'", "''")
+    columns = []
+    for name, kind in records.FEEDS[feed]:
+        raw = f"trim(v.{name}, ' ')"
+        text = f"nullif(CASE WHEN {raw} LIKE '\"%' THEN trim(replace(substr({raw}, 2, length({raw}) - 2), '\"\"', '\"'), ' ') ELSE {raw} END, '')"
+        if kind == "bigint":
+            text = f"CASE WHEN regexp_full_match({text}, '[+-]?[0-9]+') THEN TRY_CAST({text} AS BIGINT) END"
+        elif kind != "string":
+            text = f"TRY_CAST({text} AS {kind.upper()})"
+        columns.append(f"{text} AS {name}")
+    listed = ", ".join(f"'{n}'" for n in names)
+    return f"""
+        SELECT record_id, {", ".join(columns)} FROM (
+            SELECT record_id, regexp_extract(regexp_replace(raw_line, '\\r\\z', ''), '^{pattern}$', [{listed}]) AS v FROM raw_records
+            WHERE feed = '{feed}' AND record_id NOT IN ({_bad_records_sql()}))"""
+
+
 # ---- problem 2
 
 
@@ -172,6 +193,8 @@ QUERIES = {
 
 SQL = {
     "p1_found": _bad_records_sql(),
+    "p1_employees": _typed_records_sql("db_employees"),
+    "p1_locations": _typed_records_sql("db_locations"),
     "p2_per_key": _P2_SQL,
     "p4_found": f"{_LINKS} SELECT s AS employee_id FROM cyc",
     "p4_hierarchy": _P4_SQL,
