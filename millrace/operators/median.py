@@ -1,9 +1,9 @@
 """Exact medians of groups of any size.
 
-The built-in median gathers the values of a group in one task. Here groups of more than ``small`` rows are searched instead:
-a histogram over the range in which the wanted rank lies is counted where the rows are read, the bin that holds the rank
-becomes the next range, and so on until the rank's value is alone or few rows are left. Every round is one scan with partial
-counts of ``bins`` rows a group; a few rounds do for any number of rows. Small groups go through the built-in median.
+The built-in median gathers the values of a group in one task, which is best for up to a million rows or so. Groups of more
+than ``small`` rows are searched instead: a histogram over the range in which the wanted rank lies is counted where the rows
+are read, the bin that holds the rank becomes the next range, and so on until the value of the rank stands alone. Every
+round is one scan with partial counts of ``bins`` rows a group; a few rounds do for any number of rows.
 
 Defined results: nulls are left out, NaN is above all other values, an even number of values gives the mean of the middle two;
 a group without values has none and gives null; a null key is a group of its own; an empty table gives no rows.
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from millrace.common import Cut
 
 
-def exact_median(rows: DataFrame, keys: list[str], value: str, *, small: int = 20_000, bins: int = 2048, max_groups: int = 200_000) -> DataFrame:
+def exact_median(rows: DataFrame, keys: list[str], value: str, *, small: int = 1_000_000, bins: int = 2048, max_groups: int = 200_000) -> DataFrame:
     """keys and ``median``. At most ``max_groups`` large groups (counted) are searched; the bound on ``small`` is raised beyond."""
     cut = Cut(rows.sparkSession, "median")
     k = [f"k{i}" for i in range(len(keys))]
