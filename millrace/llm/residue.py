@@ -173,12 +173,12 @@ KEYS = {
         "segnaposto", "qui va", "qui il", "qui la", "qui lo", "qui l'", "qui un", "de exemplo", "vai aqui", "aqui o", "aqui a", "aqui um", "サンプルテキスト", "が入ります", "ダミーテキスト", "ここに",
     ),
     "error_page": (
-        "traceback", "\", line", "error: '", "exception", "java.", ".java:", "fatal error", "on line", "sqlstate", '"status"', '"code"', '"error"', '"message"', "<code>", "database", "request-id", "trace-id", "incident", "reference", "request id", "trace id",
+        "traceback", "\", line", "error: '", "exception", "java.", ".java:", "fatal error", "on line", "sqlstate", '"status"', '"code"', '"error"', '"message"', "<code>", "database", "request-id", "trace-id", "incident", "reference", "request id", "trace id", "requestid", "traceid",
         "could not be", "cannot be", "can't be", "timed out", "failed to load", "unavailable", "not available", "rejected by", "not found", "blocked for", "returned an", "no longer", "has been", "not exist", "n't exist", "has expired", "forbidden", "gateway", "bad request", "error", "too many requests", "unauthorized", "access denied", "session expired",
         "been notified", "may be broken", "permission", "administrator", "sign in", "browser first", "will not load", "start page", "few minutes",
-        "nicht gefunden", "vom server", "nicht geladen", "nicht angezeigt", "nicht erreichbar", "nicht verfügbar", "nicht vorhanden", "existiert nicht", "angeforderte seite", "serverfehler", "fehler ", "verweigert", "sitzung", "später erneut", "startseite",
+        "nicht gefunden", "vom server", "nicht geladen", "nicht angezeigt", "nicht erreichbar", "nicht verfügbar", "nicht vorhanden", "existiert nicht", "angeforderte seite", "serverfehler", "fehler ", "verweigert", "zugriff", "sitzung", "später erneut", "startseite",
         "introuvable", "indisponible", "pas pu", "n'existe", "par le serveur", "erreur", "accès refusé", "session a expiré", "réessayer", "accueil",
-        "no existe", "pudo cargar", "se encontró", "se encuentra", "está disponible", "rechazad", "no encontrada", "denegado", "caducado", "intentarlo", "de inicio",
+        "no existe", "pudo cargar", "se encontró", "se encuentra", "está disponible", "no disponible", "rechazad", "no encontrada", "denegado", "caducado", "intentarlo", "de inicio",
         "non esiste", "trovat", "non è", "può essere", "dal server", "errore", "negato", "non disponibile", "scadut", "riprovare", "pagina iniziale",
         "não existe", "carregad", "não está", "rejeitad", "não foi", "não encontrada", "interno do", "negado", "indisponível", "expirou", "tente novamente", "página inicial",
         "お探しの", "内部エラー", "見つかりません", "しばらくして", "アクセスが", "セッション", "利用できません",
