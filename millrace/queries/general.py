@@ -114,11 +114,17 @@ def p4_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """All people below the employees whose id is divisible by 100, the stated set of those asked for."""
+    """All people below the employees whose id is divisible by 100 only, as its SQL has it; ``p4_below`` has every employee's."""
     pairs = hierarchy.descendants(_forest(spark, d).nodes(), F.col("ancestor") % 100 == 0)
     return pairs.select(F.col("ancestor").alias("manager_id"), F.col("id").alias("employee_id"), "distance")
 
 
+def p4_below(spark: SparkSession, d: str) -> DataFrame:
+    """All people below each employee, one row a pair."""
+    pairs = hierarchy.descendants(_forest(spark, d).nodes(), F.lit(True))
+    return pairs.select(F.col("ancestor").alias("manager_id"), F.col("id").alias("employee_id"), "distance")
+
+
 _LINKS = "WITH RECURSIVE l AS (SELECT employee_id AS e, min(manager_id) AS m FROM db_employees WHERE employee_id IS NOT NULL GROUP BY 1), w(s, c) AS (SELECT e, m FROM l UNION SELECT w.s, l.m FROM w JOIN l ON w.c = l.e), cyc AS (SELECT DISTINCT s FROM w WHERE s = c)"
 _TREE = f"""{_LINKS},
     t(e, top, depth, path, on_cycle, below_cycle) AS (
@@ -128,6 +134,8 @@ _P4_SQL = f"""{_TREE}, b AS (SELECT a, count(*) AS n FROM (SELECT unnest(path) A
     SELECT t.e AS employee_id, top AS top_id, depth, array_to_string(path, '/') AS path, b.n - 1 AS n_below, on_cycle, below_cycle FROM t JOIN b ON b.a = t.e"""
 _P4_BELOW_SQL = f"""{_TREE}, u AS (SELECT e, depth, unnest(path) AS a FROM t)
     SELECT u.a AS manager_id, u.e AS employee_id, u.depth - t.depth AS distance FROM u JOIN t ON t.e = u.a WHERE u.a % 100 = 0 AND u.a <> u.e"""
+_P4_ALL_BELOW_SQL = f"""{_TREE}, u AS (SELECT e, depth, unnest(path) AS a FROM t)
+    SELECT u.a AS manager_id, u.e AS employee_id, u.depth - t.depth AS distance FROM u JOIN t ON t.e = u.a WHERE u.a <> u.e"""
 
 # ---- problem 7
 
@@ -186,6 +194,7 @@ QUERIES = {
     "p4_hierarchy": p4_hierarchy,
     "p4_intervals": p4_intervals,
     "p4_descendants": p4_descendants,
+    "p4_below": p4_below,
     "p7_found": p7_found,
     "p7_report": p7_report,
     "p7_orphan_keys": p7_orphan_keys,
@@ -199,6 +208,7 @@ SQL = {
     "p4_found": f"{_LINKS} SELECT s AS employee_id FROM cyc",
     "p4_hierarchy": _P4_SQL,
     "p4_descendants": _P4_BELOW_SQL,
+    "p4_below": _P4_ALL_BELOW_SQL,
     "p7_found": f"{_P7} SELECT DISTINCT table_name, field_name, record_id FROM y WHERE reason IS NOT NULL",
     "p7_report": f"{_P7} SELECT table_name, field_name, strftime(first, '%Y-%m') AS month, reason, count(*) AS n_references, count(DISTINCT k) AS n_keys FROM y WHERE reason IS NOT NULL GROUP BY 1, 2, 3, 4",
     "p7_orphan_keys": f"{_P7} SELECT target, k AS key, count(*) AS refs FROM y WHERE reason IN ('missing', 'deleted') GROUP BY 1, 2",

@@ -68,3 +68,14 @@ def test_against_walking(spark, name):
     if nodes:
         got = {(r.ancestor, r.id): r.distance for r in hierarchy.descendants(forest.nodes(), F.lit(True)).collect()}
         assert got == {(a, e): len(p) - 1 - i for e, (_, _, p, *_) in expected.items() for i, a in enumerate(p[:-1])}
+
+
+def test_the_query_has_the_people_below_every_employee(spark):
+    from millrace.queries import general
+
+    d = "/root/testdata/sf0.001"
+    n_below = {r.employee_id: r.n_below for r in general.QUERIES["p4_hierarchy"](spark, d).collect() if r.n_below}
+    pairs = general.QUERIES["p4_below"](spark, d).collect()
+    assert Counter(r.manager_id for r in pairs) == n_below
+    assert len({(r.manager_id, r.employee_id) for r in pairs}) == len(pairs)
+    assert any(m % 100 for m in n_below)
