@@ -1,8 +1,9 @@
 """Problem 1: rows that fail to parse.
 
 Delivered CSV records are parsed in blocks on a columnar path (one Arrow CSV parse and a handful of vectorised checks
-for a whole block). A block that fails is bisected until the failing records stand alone; those are read once more by
-a strict character-level parser, which names the reason or finds that the record is valid after all (the columnar path
+for a whole block). The checks are masks over the block's records: valid ones are loaded columnar, whatever stands between
+them; a block that the CSV parse itself fails on is bisected. The records left out are read once more by a strict
+character-level parser, which names the reason or finds that the record is valid after all (the columnar path
 may be too strict, never too lax: a running number in front of each record shows when records were merged or split).
 
 Defined results: a null line is ``null_record``; a feed without a contract, or null, is ``unknown_feed``; an empty line
@@ -16,6 +17,7 @@ import datetime
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import csv
@@ -35,10 +37,13 @@ FEEDS: dict[str, list[tuple[str, str]]] = {
     ],
 }
 
-#: Below this many records a failing block goes to the strict parser whole.
+#: Below this many records a block that the CSV reader fails on goes to the strict parser whole.
 LEAF = 128
 BLOCK = 8192
 
+#: By month; 0 and 13 stand for months that don't exist.
+_LAST_DAY = np.array([0, 31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31, 0])
+
 _DATE = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")
 _SALARY = re.compile(r"[0-9]+(\.[0-9]+)?")
 _DIGITS = re.compile(r"[0-9]+")
@@ -140,14 +145,11 @@ class _Feed:
         self.feed, self.columns = feed, [c for c, _ in FEEDS[feed]]
         value = r'(?:"(?:[^"]|"")*"|[^",\r\n]*)'
         self.shape = rf"\A{value}(?:,{value}){{{len(self.columns) - 1}}}\z"
-        self.size = BLOCK
         self.types = {"n": pa.string()} | {c: pa.string() for c in self.columns}
 
-    def whole(self, lines: pa.Array) -> list[pa.Array] | None:
-        """The block's columns, or None if anything about it isn't plainly valid."""
+    def columns_of(self, lines: pa.Array) -> tuple[list[pa.Array], np.ndarray] | None:
+        """The columns of records that have the feed's shape and which of the records are valid; None if the reader takes them otherwise."""
         n = len(lines)
-        if not pc.all(pc.match_substring_regex(lines, self.shape)).as_py():
-            return None
         numbers = pa.array(map(str, range(n)), pa.string())
         block = "\n".join(pc.binary_join_element_wise(numbers, lines, ",").to_pylist()).encode()
         try:
@@ -164,55 +166,55 @@ class _Feed:
         out = {c: pc.utf8_trim(got[c].combine_chunks(), " ") for c in self.columns}
         ok = [pc.match_substring_regex(out[self.columns[0]], r"\A[0-9]+\z")]
         if "hire_date" in out:
-            day = out["hire_date"]
-            ok.append(pc.match_substring_regex(day, r"\A(?:[0-9]{4}-[0-9]{2}-[0-9]{2})?\z"))
-            ok.append(pc.invert(pc.starts_with(day, "0000")))
+            ok.append(_days(out["hire_date"]))
         if "salary" in out:
             ok.append(pc.match_substring_regex(out["salary"], r"\A(?:[0-9]+(?:\.[0-9]+)?)?\z"))
         if "street_address" in out:
             street = out["street_address"]
             ok.append(pc.match_substring_regex(street, r"\p{L}"))
             ok.append(pc.invert(pc.match_substring_regex(street, r"[\x00-\x09\x0b\x0c\x0e-\x1f\x7f-\x{9f}\x{fffd}]")))
-        if not all(pc.all(x).as_py() for x in ok):
-            return None
-        if "hire_date" in out:
-            try:
-                pc.cast(out["hire_date"].filter(pc.not_equal(out["hire_date"], "")), pa.date32())
-            except pa.ArrowInvalid:
-                return None
-        return list(out.values())
+        return list(out.values()), np.logical_and.reduce([np.asarray(x) for x in ok])
 
     def parse(self, lines: pa.Array) -> tuple[list[list[str] | None], list[str | None]]:
         """Values and reason of every record.
 
-        Blocks grow while they pass and shrink while most of their records end up alone, so that neither clean nor
-        littered input is tried in vain.
+        The checks of a block are masks, so its valid records are loaded by the columnar path whatever stands between them;
+        only what a mask leaves out is diagnosed.
         """
         values: list = [None] * len(lines)
         reasons: list = [None] * len(lines)
         bare = pc.replace_substring_regex(lines, r"\r\z", "")
-        at = 0
-        while at < len(lines):
-            end = min(at + self.size, len(lines))
-            alone, todo = 0, [(at, end)]
-            while todo:
-                a, b = todo.pop()
-                if b - a <= LEAF:
-                    for i in range(a, b):
-                        values[i], reasons[i] = diagnose(lines[i].as_py(), self.feed)
-                    alone += b - a if any(reasons[a:b]) else 0
-                elif (got := self.whole(bare.slice(a, b - a))) is not None:
-                    values[a:b] = map(list, zip(*(x.to_pylist() for x in got)))
-                else:
-                    todo += [(a, (a + b) // 2), ((a + b) // 2, b)]
-            if not alone:
-                self.size = min(2 * self.size, BLOCK)
-            elif 2 * alone > end - at:
-                self.size = max(self.size // 2, LEAF)
-            at = end
+        shaped = np.asarray(pc.match_substring_regex(bare, self.shape))
+        left = [np.flatnonzero(~shaped)]
+        todo = [at + np.flatnonzero(shaped[at : at + BLOCK]) for at in range(0, len(lines), BLOCK)]
+        while todo:
+            some = todo.pop()
+            if not len(some):
+                continue
+            if (got := self.columns_of(bare.take(pa.array(some)))) is not None:
+                columns, ok = got
+                for i, row in zip(some[ok].tolist(), zip(*(x.filter(pa.array(ok)).to_pylist() for x in columns))):
+                    values[i] = list(row)
+                left.append(some[~ok])
+            elif len(some) <= LEAF:
+                left.append(some)
+            else:
+                todo += np.array_split(some, 2)
+        for i in np.concatenate(left).tolist():
+            values[i], reasons[i] = diagnose(lines[i].as_py(), self.feed)
         return values, reasons
 
 
+def _days(texts: pa.Array) -> np.ndarray:
+    """Which texts are empty or an existing calendar day."""
+    written = pc.match_substring_regex(texts, r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z")
+    safe = pc.if_else(written, texts, "0000-00-00")
+    year, month, day = (np.asarray(pc.utf8_slice_codeunits(safe, a, b).cast(pa.int32())) for a, b in ((0, 4), (5, 7), (8, 10)))
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    last = _LAST_DAY[np.clip(month, 0, 13)] + ((month == 2) & leap)
+    return np.asarray(pc.equal(texts, "")) | ((year > 0) & (day >= 1) & (day <= last))
+
+
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     feeds = {f: _Feed(f) for f in FEEDS}
     for batch in batches:

@@ -84,3 +84,23 @@ def test_frame(spark):
     assert len(typed) == 2 and typed[0].salary == 10.5 and str(typed[0].hire_date) == "2020-02-29" and typed[0].commission_pct is None
     assert R.typed(parsed, "db_locations").count() == 2
     assert R.parse_records(df.limit(0)).count() == 0
+
+
+def test_valid_records_between_bad_ones_are_loaded_columnar(monkeypatch):
+    """A bad record in every few doesn't send the others to the strict parser."""
+    import pyarrow as pa
+
+    strict, seen = R.diagnose, []
+    monkeypatch.setattr(R, "diagnose", lambda line, feed: seen.append(line) or strict(line, feed))
+    bad = [GOOD.replace("02-29", "02-30"), GOOD + ",", GOOD.replace("Ann", 'A"n'), GOOD.replace("10.5", "1e5")]
+    lines = [bad[i // 14 % 4] if i % 14 == 0 else GOOD for i in range(5000)]
+    values, reasons = R._Feed("db_employees").parse(pa.array(lines))
+    assert sorted(seen) == sorted(x for x in lines if x != GOOD)
+    assert [(v, r) for v, r in zip(values, reasons)] == [strict(x, "db_employees") for x in lines]
+
+
+def test_days():
+    import pyarrow as pa
+
+    days = [f"{y:04}-{m:02}-{d:02}" for y in (0, 1, 1900, 2000, 2023, 2024, 9999) for m in range(15) for d in (0, 1, 28, 29, 30, 31, 32, 99)]
+    assert R._days(pa.array([*days, "", "2020-1-1", "x"])).tolist() == [*map(R._is_day, days), True, False, False]
