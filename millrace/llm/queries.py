@@ -28,10 +28,11 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_from_days(spark: SparkSession, d: str) -> DataFrame:
-    """The same from summaries of single loading days, each made by itself and then put together."""
-    rows = _by_department_and_job(spark, d).withColumn("day", F.date_trunc("month", "day").cast("date"))
+    """The same from summaries of single loading days, each made by itself and then put together, by month first."""
+    rows = _by_department_and_job(spark, d)
     days = quantiles.summarize(rows, {"key_kind": F.col("kind"), "key": F.col("key"), "day": F.col("day")}, F.col("salary"), EPS / 2)
-    return quantiles.percentiles(quantiles.combine(days, ["key_kind", "key"], EPS), ["key_kind", "key"], WANTED)
+    months = quantiles.combine(days.withColumn("month", F.substring("day", 1, 7)), ["key_kind", "key", "month"], EPS * 3 / 4)
+    return quantiles.percentiles(quantiles.combine(months, ["key_kind", "key"], EPS), ["key_kind", "key"], WANTED)
 
 
 def p3_small_groups(spark: SparkSession, d: str) -> DataFrame:
