@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -133,6 +134,11 @@ TEXTS: dict[str, str | tuple[str, str]] = {
     "rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
 }
 
+#: The ordered texts without their limit: all rows are sorted, where the limited ones only take the first.
+ORDERED = ("order_by_multi", "order_by_position", "order_by_alias", "order_by_hidden", "order_by_expression", "union_ordered")
+_whole = lambda sql: re.sub(r" LIMIT \d+$", "", sql)
+TEXTS |= {f"{k}_whole": _whole(v) if isinstance(v, str) else tuple(map(_whole, v)) for k, v in ((k, TEXTS[k]) for k in ORDERED)}
+
 # ---- the same operators as frames
 
 
