@@ -2,7 +2,7 @@
 
 Delivered CSV records are parsed in blocks on a columnar path (one Arrow CSV parse and a handful of vectorised checks
 for a whole block). The checks are masks over the block's records: valid ones are loaded columnar, whatever stands between
-them; a block that the CSV parse itself fails on is bisected. The records left out are read once more by a strict
+them; a block that the CSV parse itself fails on is bisected down to its failing records. What is left is read by a strict
 character-level parser, which names the reason or finds that the record is valid after all (the columnar path
 may be too strict, never too lax: a running number in front of each record shows when records were merged or split).
 
@@ -37,8 +37,7 @@ FEEDS: dict[str, list[tuple[str, str]]] = {
     ],
 }
 
-#: Below this many records a block that the CSV reader fails on goes to the strict parser whole.
-LEAF = 128
+#: Records parsed at once.
 BLOCK = 8192
 
 #: By month; 0 and 13 stand for months that don't exist.
@@ -54,7 +53,10 @@ _COLUMNS = {f: [c for c, _ in cs] for f, cs in FEEDS.items()}
 
 
 def split_strictly(line: str) -> tuple[list[str] | None, str | None]:
-    """The values of one record, or the reason why it can't be split. Spaces around values are removed."""
+    """The values of one record, or the reason why it can't be split. Spaces around values are removed.
+
+    A quoted value begins and ends with its quotes, so a space outside of them makes it an unquoted value with a quote in it.
+    """
     if line.endswith("\r"):
         line = line[:-1]
     if '"' not in line:
@@ -63,8 +65,6 @@ def split_strictly(line: str) -> tuple[list[str] | None, str | None]:
         return [v.strip(" ") for v in line.split(",")], None
     values, i, n = [], 0, len(line)
     while True:
-        while i < n and line[i] == " ":
-            i += 1
         if i < n and line[i] == '"':
             parts = []
             i += 1
@@ -79,8 +79,6 @@ def split_strictly(line: str) -> tuple[list[str] | None, str | None]:
                 else:
                     i = j + 1
                     break
-            while i < n and line[i] == " ":
-                i += 1
             if i < n and line[i] != ",":
                 return None, "text_after_quote"
             values.append("".join(parts).strip(" "))
@@ -89,10 +87,10 @@ def split_strictly(line: str) -> tuple[list[str] | None, str | None]:
             j = n if j < 0 else j
             value = line[i:j]
             if '"' in value:
-                return None, "quote_inside_value"
+                return None, "text_before_quote" if value.lstrip(" ")[0] == '"' else "quote_inside_value"
             if "\n" in value or "\r" in value:
                 return None, "line_break_outside_quotes"
-            values.append(value.rstrip(" "))
+            values.append(value.strip(" "))
             i = j
         if i >= n:
             return values, None
@@ -175,14 +173,12 @@ class _Feed:
             ok.append(pc.invert(pc.match_substring_regex(street, r"[\x00-\x09\x0b\x0c\x0e-\x1f\x7f-\x{9f}\x{fffd}]")))
         return list(out.values()), np.logical_and.reduce([np.asarray(x) for x in ok])
 
-    def parse(self, lines: pa.Array) -> tuple[list[list[str] | None], list[str | None]]:
-        """Values and reason of every record.
+    def pieces(self, lines: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array]]:
+        """(places, values, reasons) until every record has come once; valid records stay Arrow columns throughout.
 
-        The checks of a block are masks, so its valid records are loaded by the columnar path whatever stands between them;
-        only what a mask leaves out is diagnosed.
+        The checks of a block are masks, so its valid records are loaded by the columnar path whatever stands between them; a
+        block that the reader fails on is bisected down to its single failing records. Only what is left over is diagnosed.
         """
-        values: list = [None] * len(lines)
-        reasons: list = [None] * len(lines)
         bare = pc.replace_substring_regex(lines, r"\r\z", "")
         shaped = np.asarray(pc.match_substring_regex(bare, self.shape))
         left = [np.flatnonzero(~shaped)]
@@ -193,18 +189,35 @@ class _Feed:
                 continue
             if (got := self.columns_of(bare.take(pa.array(some)))) is not None:
                 columns, ok = got
-                for i, row in zip(some[ok].tolist(), zip(*(x.filter(pa.array(ok)).to_pylist() for x in columns))):
-                    values[i] = list(row)
+                if ok.any():
+                    yield some[ok], _side_by_side([x.filter(pa.array(ok)) for x in columns]), pa.nulls(int(ok.sum()), pa.string())
                 left.append(some[~ok])
-            elif len(some) <= LEAF:
+            elif len(some) == 1:
                 left.append(some)
             else:
                 todo += np.array_split(some, 2)
-        for i in np.concatenate(left).tolist():
-            values[i], reasons[i] = diagnose(lines[i].as_py(), self.feed)
+        rest = np.sort(np.concatenate(left))
+        if len(rest):
+            values, reasons = zip(*(diagnose(x, self.feed) for x in lines.take(pa.array(rest)).to_pylist()))
+            yield rest, pa.array(values, pa.list_(pa.string())), pa.array(reasons, pa.string())
+
+    def parse(self, lines: pa.Array) -> tuple[list[list[str] | None], list[str | None]]:
+        """Values and reason of every record in order, as Python lists."""
+        values: list = [None] * len(lines)
+        reasons: list = [None] * len(lines)
+        for at, v, r in self.pieces(lines):
+            for i, x, y in zip(at.tolist(), v.to_pylist(), r.to_pylist()):
+                values[i], reasons[i] = x, y
         return values, reasons
 
 
+def _side_by_side(columns: list[pa.Array]) -> pa.Array:
+    """Columns of n values as n lists."""
+    n, k = len(columns[0]), len(columns)
+    order = (np.arange(n)[:, None] + n * np.arange(k)).ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), pa.concat_arrays(columns).take(pa.array(order)))
+
+
 def _days(texts: pa.Array) -> np.ndarray:
     """Which texts are empty or an existing calendar day."""
     written = pc.match_substring_regex(texts, r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z")
@@ -229,10 +242,13 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 continue
             own = lines.take(where)
             if name is None:
-                values, reasons = [None] * len(own), ["null_record" if x is None else "unknown_feed" for x in own.to_pylist()]
+                nothing = pa.nulls(len(own), pa.list_(pa.string()))
+                pieces = [(np.arange(len(own)), nothing, pc.if_else(pc.is_null(own), "null_record", "unknown_feed"))]
             else:
-                values, reasons = feeds[name].parse(own)
-            yield pa.RecordBatch.from_arrays([ids.take(where), names.take(where), pa.array(values, pa.list_(pa.string())), pa.array(reasons, pa.string())], names=["record_id", "feed", "fields", "reason"])
+                pieces = feeds[name].pieces(own)
+            for at, values, reasons in pieces:
+                these = where.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([ids.take(these), names.take(these), values, reasons], names=["record_id", "feed", "fields", "reason"])
 
 
 def parse_records(records: DataFrame, record_id: str = "record_id", feed: str = "feed", line: str = "raw_line") -> DataFrame:

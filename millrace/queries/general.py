@@ -32,10 +32,9 @@ def p1_locations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bad_records_sql() -> str:
-    """The contract as one regular expression a feed; existing calendar days by a cast."""
+    """The contract as one regular expression a feed; existing calendar days by a cast. Nothing stands outside a value's quotes."""
     free = r'(?:"(?:[^"]|"")*"|[^",\r\n]*)'
-    wrap = lambda x: rf' *(?:" *{x} *"|{x}) *'
-    free = f" *{free} *"
+    wrap = lambda x: rf'(?:" *{x} *"| *{x} *)'
     digits, day, salary = wrap("[0-9]+"), wrap("(?:[0-9]{4}-[0-9]{2}-[0-9]{2})?"), wrap(r"(?:[0-9]+(?:\.[0-9]+)?)?")
     employee = ",".join([digits, *[free] * 4, day, free, salary, *[free] * 3])
     location = ",".join([digits, *[free] * 5])
@@ -59,7 +58,7 @@ def _bad_records_sql() -> str:
 
 def _typed_records_sql(feed: str) -> str:
     """The valid records of a feed, taken apart by one regular expression, unquoted and cast."""
-    free = r' *(?:"(?:[^"]|"")*"|[^",\r\n]*) *'
+    free = r'(?:"(?:[^"]|"")*"|[^",\r\n]*)'
     names = [c for c, _ in records.FEEDS[feed]]
     pattern = ",".join(f"({free})" for _ in names).replace("'", "''")
     columns = []

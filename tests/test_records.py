@@ -15,7 +15,9 @@ PLACE = '9,"1 High Road, Unit 2",12345,Town,Shire,QM'
     [
         ("db_employees", GOOD, None),
         ("db_employees", GOOD + "\r", None),
-        ("db_employees", ' 7 , "Ann" ,Lee,ALEE,1.2," 2020-02-29 ",IT, 10.5 ,,3,4', None),
+        ("db_employees", ' 7 ,"Ann",Lee,ALEE,1.2," 2020-02-29 ",IT, 10.5 ,,3,4', None),
+    ("db_employees", GOOD.replace("Ann", '"Ann" '), "text_after_quote"),
+    ("db_employees", GOOD.replace("Ann", ' "Ann"'), "text_before_quote"),
         ("db_employees", GOOD.replace("2020-02-29", "").replace("10.5", ""), None),
         ("db_employees", GOOD.replace("Ann", '"A ""x"" n\n,"'), None),
         ("db_employees", GOOD.replace("Ann", 'A"n'), "quote_inside_value"),
