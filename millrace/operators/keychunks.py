@@ -1,13 +1,14 @@
 """Problem 2: per-key results when a few keys hold most rows.
 
-Exact offset chunking. Rows are ranged by (key, member) into input partitions of equal size, which splits a hot key over
-many of them, and written once, one sorted file a partition, so that every row has a fixed place however often a task is
-run. The keys are counted per input partition; the prefix sums of the counts are the offsets, and offset plus place
-numbers every row exactly, whichever task reads it. A streaming pass cuts each key at every ``chunk_rows`` rows and
-reduces the chunk to a state (rows, runs of members, first and last member, sums). The states of a key are merged in
-order: a run that goes over a boundary is counted once.
+Exact offset chunking. Rows are ranged by (key, member, tie) into input partitions of equal size; a hot key is split over many
+of them, and so is a hot member of a key, since the tie tells its rows apart. Each partition is written once as a sorted file
+in which every row has its place within its key, so the numbers stay the same however often a later task is run. The keys are
+counted per input partition; the prefix sums of a key's counts are its offsets, and offset plus place numbers the rows of every
+key exactly from 0 on, whichever task reads them. A streaming pass cuts each key at every ``chunk_rows`` of these numbers and
+reduces the chunk to a state (rows, runs of members, first and last member, sums). The states of a key are merged in order: a
+run that goes over a boundary is counted once.
 
-No task ever holds a key: the largest holds one input partition, and a key's merge sees one state a chunk and split.
+No task ever holds a hot key or member: the largest holds one input partition, and a key's merge sees one state a chunk and split.
 
 Defined results: a null key is a key of its own; null members count as rows and not as members; a null or NaN value is
 left out of sum and count of values; repeated rows count as rows and once as members; an empty table gives no rows.
@@ -90,6 +91,40 @@ def _batch(rows: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(zip(*rows), _STATE.split(", "))], names=_NAMES)
 
 
+#: Rows of one key and member are told apart by so many ties.
+TIES = 4096
+
+_PLACED = "kind string, key string, member bigint, value double, place bigint"
+
+
+def ranged(narrow: DataFrame, partitions: int) -> DataFrame:
+    """kind, key, member, value in sorted partitions of about equal size, whatever repeats how often."""
+    tied = narrow.withColumn("tie", F.pmod(F.monotonically_increasing_id(), F.lit(TIES)).cast("int"))
+    order = ["kind", "key", "member", "tie"]
+    return tied.repartitionByRange(partitions, *order).sortWithinPartitions(*order).drop("tie")
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds each row's place within its key in this partition, from 0 on; the rows come sorted by kind and key."""
+    last, reached = None, 0
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        change = np.zeros(n, bool)
+        change[0] = True
+        for i in (0, 1):
+            codes = np.asarray(batch.column(i).dictionary_encode().indices.fill_null(-1))
+            change[1:] |= codes[1:] != codes[:-1]
+        starts = np.flatnonzero(change)
+        place = np.arange(n) - np.repeat(starts, np.diff(np.r_[starts, n]))
+        first, final = ((batch.column(0)[i].as_py(), batch.column(1)[i].as_py()) for i in (0, n - 1))
+        if first == last:
+            place[: starts[1] if len(starts) > 1 else n] += reached
+        last, reached = final, int(place[-1]) + 1
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], names=["kind", "key", "member", "value", "place"])
+
+
 def per_key(rows: DataFrame, keys: dict[str, Column], member: str, value: str, *, chunk_rows: int = 1_000_000, partitions: int | None = None) -> DataFrame:
     """Rows, distinct members and sum of values for every key of every kind in ``keys`` (kind: expression of the key).
 
@@ -100,14 +135,16 @@ def per_key(rows: DataFrame, keys: dict[str, Column], member: str, value: str, *
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs = F.array(*(F.struct(F.lit(k).alias("kind"), e.cast("string").alias("key")) for k, e in keys.items()))
     narrow = rows.select(F.explode(pairs).alias("__p"), F.col(member).cast("bigint").alias("member"), F.col(value).cast("double").alias("value")).select("__p.kind", "__p.key", "member", "value")
-    ranged = narrow.repartitionByRange(partitions, "kind", "key", "member").sortWithinPartitions("kind", "key", "member")
-    parts = cut(ranged.withColumn("pid", F.spark_partition_id()))
+    parts = cut(ranged(narrow, partitions).mapInArrow(_places, _PLACED).withColumn("pid", F.spark_partition_id()))
 
-    # keys per input partition; the prefix sums over partitions, one row each, are the offsets of their rows
+    # keys per input partition; the prefix sums of a key's counts are its offsets. Partitions are ranges, so only the first
+    # key of a partition can have rows in an earlier one: there is at most one offset above zero a partition
     counts = parts.groupBy("pid", "kind", "key").agg(F.count("*").alias("n"))
-    sizes = counts.groupBy("pid").agg(F.sum("n").alias("n"))
-    offsets = sizes.select("pid", (F.sum("n").over(Window.orderBy("pid")) - F.col("n")).alias("offset"))
-    numbered = parts.select("*", "_metadata.row_index").join(F.broadcast(offsets), "pid").select("kind", "key", "member", "value", (F.col("row_index") + F.col("offset")).alias("number"))
+    before = Window.partitionBy("kind", "key").orderBy("pid")
+    offsets = counts.withColumn("offset", F.sum("n").over(before) - F.col("n")).filter("offset > 0")
+    offsets = offsets.select(F.col("pid").alias("o_pid"), F.col("kind").alias("o_kind"), F.col("key").alias("o_key"), "offset")
+    same = (F.col("pid") == F.col("o_pid")) & (F.col("kind") == F.col("o_kind")) & F.col("key").eqNullSafe(F.col("o_key"))
+    numbered = parts.join(F.broadcast(offsets), same, "left").select("kind", "key", "member", "value", (F.col("place") + F.coalesce("offset", F.lit(0))).alias("number"))
     states = numbered.mapInArrow(_states(chunk_rows), _STATE)
 
     order = Window.partitionBy("kind", "key").orderBy("first_row")
