@@ -112,16 +112,26 @@ def p4_intervals(spark: SparkSession, d: str) -> DataFrame:
     return _forest(spark, d).nodes().select(F.col("id").alias("employee_id"), F.col("root").alias("top_id"), "entry", "exit")
 
 
+def p4_nesting(spark: SparkSession, d: str) -> DataFrame:
+    """How far each employee's interval reaches, and whether it lies inside the manager's: no two of one tree cross."""
+    all_ = _forest(spark, d).intervals()
+    up = all_.select(F.col("id").alias("up"), F.col("at").alias("u_at"), F.col("last").alias("u_last"))
+    inside = (F.col("at") > F.col("u_at")) & (F.col("last") <= F.col("u_last"))
+    return all_.join(up, "up", "left").select(F.col("id").alias("employee_id"), (F.col("last") - F.col("at")).alias("reach"), inside.alias("inside_manager"))
+
+
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
     """All people below the employees whose id is divisible by 100 only, as its SQL has it; ``p4_below`` has every employee's."""
-    pairs = hierarchy.descendants(_forest(spark, d).nodes(), F.col("ancestor") % 100 == 0)
-    return pairs.select(F.col("ancestor").alias("manager_id"), F.col("id").alias("employee_id"), "distance")
+    return _pairs(_forest(spark, d).descendants(F.col("id") % 100 == 0))
 
 
 def p4_below(spark: SparkSession, d: str) -> DataFrame:
     """All people below each employee, one row a pair."""
-    pairs = hierarchy.descendants(_forest(spark, d).nodes(), F.lit(True))
-    return pairs.select(F.col("ancestor").alias("manager_id"), F.col("id").alias("employee_id"), "distance")
+    return _pairs(_forest(spark, d).descendants())
+
+
+def _pairs(below: DataFrame) -> DataFrame:
+    return below.select(F.col("ancestor").alias("manager_id"), F.col("id").alias("employee_id"), "distance")
 
 
 _LINKS = "WITH RECURSIVE l AS (SELECT employee_id AS e, min(manager_id) AS m FROM db_employees WHERE employee_id IS NOT NULL GROUP BY 1), w(s, c) AS (SELECT e, m FROM l UNION SELECT w.s, l.m FROM w JOIN l ON w.c = l.e), cyc AS (SELECT DISTINCT s FROM w WHERE s = c)"
@@ -131,6 +141,8 @@ _TREE = f"""{_LINKS},
         UNION ALL SELECT l.e, t.top, t.depth + 1, list_append(t.path, l.e), false, t.on_cycle OR t.below_cycle FROM t JOIN l ON l.m = t.e WHERE l.e NOT IN (SELECT s FROM cyc))"""
 _P4_SQL = f"""{_TREE}, b AS (SELECT a, count(*) AS n FROM (SELECT unnest(path) AS a FROM t) GROUP BY 1)
     SELECT t.e AS employee_id, top AS top_id, depth, array_to_string(path, '/') AS path, b.n - 1 AS n_below, on_cycle, below_cycle FROM t JOIN b ON b.a = t.e"""
+_P4_NESTING_SQL = f"""{_TREE}, b AS (SELECT a, count(*) AS n FROM (SELECT unnest(path) AS a FROM t) GROUP BY 1)
+    SELECT t.e AS employee_id, b.n - 1 AS reach, CASE WHEN depth > 0 THEN true END AS inside_manager FROM t JOIN b ON b.a = t.e"""
 _P4_BELOW_SQL = f"""{_TREE}, u AS (SELECT e, depth, unnest(path) AS a FROM t)
     SELECT u.a AS manager_id, u.e AS employee_id, u.depth - t.depth AS distance FROM u JOIN t ON t.e = u.a WHERE u.a % 100 = 0 AND u.a <> u.e"""
 _P4_ALL_BELOW_SQL = f"""{_TREE}, u AS (SELECT e, depth, unnest(path) AS a FROM t)
@@ -192,6 +204,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_hierarchy": p4_hierarchy,
     "p4_intervals": p4_intervals,
+    "p4_nesting": p4_nesting,
     "p4_descendants": p4_descendants,
     "p4_below": p4_below,
     "p7_found": p7_found,
@@ -206,6 +219,7 @@ SQL = {
     "p2_per_key": _P2_SQL,
     "p4_found": f"{_LINKS} SELECT s AS employee_id FROM cyc",
     "p4_hierarchy": _P4_SQL,
+    "p4_nesting": _P4_NESTING_SQL,
     "p4_descendants": _P4_BELOW_SQL,
     "p4_below": _P4_ALL_BELOW_SQL,
     "p7_found": f"{_P7} SELECT DISTINCT table_name, field_name, record_id FROM y WHERE reason IS NOT NULL",

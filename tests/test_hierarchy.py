@@ -42,17 +42,19 @@ CASES = {
     "chain": [(i, i - 1) for i in range(1, 60)],
     "ring": [(i, (i + 1) % 20) for i in range(20)] + [(100 + i, i) for i in range(20)],
     "nulls and repeats": [(None, 3), (1, None), (1, None), (2, 1), (2, 1), (3, 0), (4, 3), (4, 3), (5, 777)],
+    "tails": [(i, i - 1) for i in range(1, 40)] + [(0, 0)] + [(100 + i, 99 + i) for i in range(1, 40)] + [(100, 139 - 37)] + [(200 + i, None) for i in range(5)],
     "two parents": [(1, None), (2, None), (3, 2), (3, 1)],
     "hot manager": [(1, None)] + [(i, 1) for i in range(2, 300)] + [(1000 + i, 2 + i) for i in range(50)],
 }
 
 
-@pytest.mark.parametrize("name", [*CASES, "random"])
-def test_against_walking(spark, name):
+@pytest.mark.parametrize(("name", "small", "chunk", "hot"), [*((n, 40, 7, 3) for n in ("chain", "hot manager", "random")), *((n, 1 << 18, 100_000, 1_000_000) for n in [*CASES, "random"])])
+def test_against_walking(spark, name, small, chunk, hot):
+    """Small settings contract the tour in rounds, cut the sweep into many chunks and salt every parent."""
     rng = random.Random(3)
     rows = CASES.get(name) if name != "random" else [(i, rng.choice([None, 0, rng.randrange(400)])) for i in range(1, 400)]
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
-    forest = hierarchy.Forest(df, "employee_id", "manager_id", slices=4)
+    forest = hierarchy.Forest(df, "employee_id", "manager_id", slices=4, small=small, chunk=chunk, hot=hot)
     cycles, expected = brute(rows)
     assert {r.id for r in forest.on_cycles().collect()} == cycles
     nodes = forest.nodes().collect()
@@ -66,8 +68,10 @@ def test_against_walking(spark, name):
         assert inside is None or inside == {x for x, (_, _, p, *_) in expected.items() if r.id in p[:-1]}
         assert all(at[a].entry <= r.entry <= at[a].exit for a in r.path)
     if nodes:
-        got = {(r.ancestor, r.id): r.distance for r in hierarchy.descendants(forest.nodes(), F.lit(True)).collect()}
+        got = {(r.ancestor, r.id): r.distance for r in forest.descendants().collect()}
         assert got == {(a, e): len(p) - 1 - i for e, (_, _, p, *_) in expected.items() for i, a in enumerate(p[:-1])}
+        some = {(r.ancestor, r.id) for r in forest.descendants(F.col("id") % 3 == 0).collect()}
+        assert some == {(a, e) for a, e in got if a % 3 == 0}
 
 
 def test_the_query_has_the_people_below_every_employee(spark):
