@@ -35,7 +35,7 @@ def test_keys_cover_the_grammars():
     """Without the keyword automaton the grammars find nothing more."""
     keys = R._keys
     try:
-        R._keys = lambda low: 63
+        R._keys = lambda text: -1
         slow = {t: R.kinds(t) for ts in (*YES.values(), NO) for t in ts}
     finally:
         R._keys = keys
