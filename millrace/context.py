@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace import dialect
 from millrace.plans import explain as plans
+from millrace.profile import Profiler, Step
 from millrace.sources import avro, database, files, memory
-from millrace.sources.options import AvroOptions, CsvOptions, JsonOptions
+from millrace.sources.options import AvroOptions, CsvOptions, JsonOptions, ParquetOptions
 
 #: Whose table a view of the session shows now.
 _owners: dict[tuple[int, str], weakref.ref] = {}
@@ -58,8 +59,8 @@ class EngineContext:
         self._tables[name].createOrReplaceTempView(name)
         _owners[id(self.spark), name.lower()] = weakref.ref(self)
 
-    def register_parquet(self, name: str, *paths: str) -> DataFrame:
-        return self.register(name, files.read_parquet(self.spark, *paths))
+    def register_parquet(self, name: str, *paths: str, options: ParquetOptions | None = None) -> DataFrame:
+        return self.register(name, files.read_parquet(self.spark, *paths, options=options))
 
     def register_csv(self, name: str, *paths: str, options: CsvOptions | None = None, schema: str | None = None) -> DataFrame:
         return self.register(name, files.read_csv(self.spark, *paths, options=options, schema=schema))
@@ -76,8 +77,9 @@ class EngineContext:
     def register_avro(self, name: str, path: str, options: AvroOptions | None = None) -> DataFrame:
         return self.register(name, avro.read_avro(self.spark, path, options))
 
-    def register_database(self, name: str, connection: database.Connection, query: str, max_results: int = 0) -> DataFrame:
-        return self.register(name, database.read(self.spark, connection, query, max_results))
+    def register_database(self, name: str, connection: database.Connection, query: str, max_results: int = 0, split: tuple[str, int, int, int] | None = None) -> DataFrame:
+        """``split`` (column, low, high, parts) reads the query's result in parallel ranges of a column."""
+        return self.register(name, database.read(self.spark, connection, query, max_results, split))
 
     def register_rows(self, name: str, rows: Iterable, schema: str) -> DataFrame:
         return self.register(name, memory.rows(self.spark, rows, schema))
@@ -116,6 +118,17 @@ class EngineContext:
             df = change(df)
         return df.limit(options.max_results) if options.max_results else df
 
+    def run(self, text: str, action: Callable[[DataFrame], object] = DataFrame.collect, options: QueryOptions | None = None, profiler: Profiler | None = None) -> tuple[object, Step]:
+        """The action's result, and the query as a step of the profiler: planning and run times, rows and batches."""
+        profiler = profiler or Profiler()
+        with profiler.step("query") as step:
+            with profiler.step("plan"):
+                df = self.sql(text, options)
+                df._jdf.queryExecution().executedPlan()
+            result = profiler.run("run", df, action)
+        step.rows, step.batches = step.steps[-1].rows, step.steps[-1].batches
+        return result, step
+
     def explain(self, text: str) -> DataFrame:
         return self.sql(f"EXPLAIN {text}")
 
@@ -123,11 +136,11 @@ class EngineContext:
     def cancellable(self):
         """Actions inside carry a tag; ``cancel(tag)`` from another thread stops them."""
         tag = f"millrace-{uuid4().hex}"
-        self.spark.addTag(tag)
+        self.spark.sparkContext.addJobTag(tag)
         try:
             yield tag
         finally:
-            self.spark.removeTag(tag)
+            self.spark.sparkContext.removeJobTag(tag)
 
     def cancel(self, tag: str) -> None:
-        self.spark.interruptTag(tag)
+        self.spark.sparkContext.cancelJobsWithTag(tag)

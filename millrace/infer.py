@@ -1,4 +1,8 @@
-"""Column types of schemaless text, by a ladder of tests over a bounded sample of rows."""
+"""Column types of schemaless text, by a ladder of tests over all rows (or a sample, if one is asked for).
+
+The rungs of all values of all columns are found in one aggregation. A column only climbs, and only where the higher type
+holds every value: whole numbers to numbers, days to moments; what mixes otherwise stays text, so no value is lost.
+"""
 
 from __future__ import annotations
 
@@ -37,20 +41,38 @@ def value_type(text: str | None) -> str | None:
     return "timestamp"
 
 
-def climb(a: str | None, b: str | None) -> str | None:
-    """The higher of two rungs."""
-    if a is None or b is None:
-        return a or b
-    return max(a, b, key=LADDER.index)
+#: Which rungs a type can hold.
+_HOLDS = {"bigint": {"bigint"}, "double": {"bigint", "double"}, "boolean": {"boolean"}, "date": {"date"}, "timestamp": {"date", "timestamp"}}
+
+
+def climb(rungs: set[str]) -> str:
+    """The lowest type that holds values of all these rungs; without any it is string."""
+    return next((kind for kind, held in _HOLDS.items() if rungs and rungs <= held), "string")
 
 
 def column_types(rows: list[list[str | None]], width: int) -> list[str]:
-    """The type of each column of the sample; a column without values is string."""
-    types: list[str | None] = [None] * width
+    """The type of each column of some rows; a column without values is string."""
+    seen: list[set[str]] = [set() for _ in range(width)]
     for row in rows:
         for i, text in enumerate(row[:width]):
-            types[i] = climb(types[i], value_type(text))
-    return [t or "string" for t in types]
+            if (rung := value_type(text)) is not None:
+                seen[i].add(rung)
+    return [climb(x) for x in seen]
+
+
+def _rung(text: Column) -> Column:
+    """The rung of a value as ``value_type`` has it, without leaving the JVM."""
+    clean = F.nullif(F.trim(text), F.lit(""))
+    out = F.when(clean.isNull(), None)
+    for name, test in _TESTS:
+        out = out.when(clean.rlike(f"^(?:{test.pattern.removeprefix('(?i)')})$" if name != "boolean" else "(?i)^(?:true|false)$"), F.lit(name))
+    return out.when(_mail_time(clean).isNotNull(), F.lit("timestamp")).otherwise(F.lit("string"))
+
+
+def _mail_time(clean: Column) -> Column:
+    # a day name in front can't be parsed and says nothing new
+    text = F.when(clean.rlike(r"^(?:[A-Za-z]{3}, *)?[0-9]{1,2} [A-Za-z]{3} [0-9]{4} "), F.regexp_replace(clean, r"^[A-Za-z]{3}, *", ""))
+    return F.try_to_timestamp(text, F.lit("d MMM yyyy HH:mm:ss z"))
 
 
 def typed(column: str, kind: str) -> Column:
@@ -60,14 +82,19 @@ def typed(column: str, kind: str) -> Column:
         return text.alias(column)
     clean = F.nullif(F.trim(text), F.lit(""))
     if kind == "timestamp":
-        # a day name in front can't be parsed and says nothing new
-        mail = F.try_to_timestamp(F.regexp_replace(clean, r"^[A-Za-z]{3}, *", ""), F.lit("d MMM yyyy HH:mm:ss z"))
-        return F.coalesce(clean.try_cast("timestamp"), mail).alias(column)
+        return F.coalesce(clean.try_cast("timestamp"), _mail_time(clean)).alias(column)
     return clean.try_cast(kind).alias(column)
 
 
-def infer(texts: DataFrame, infer_max: int = 100) -> DataFrame:
-    """A frame of text columns with inferred types. Only the first ``infer_max`` rows are looked at, as a stated sample."""
-    sample = [list(r) for r in texts.limit(infer_max).collect()]
-    types = column_types(sample, len(texts.columns))
+def types_of(texts: DataFrame) -> list[str]:
+    """The type of each text column, from one pass over all rows; a handful of rungs a column comes to the driver."""
+    if not texts.columns:
+        return []
+    found = texts.agg(*(F.collect_set(_rung(F.col(f"`{c}`"))).alias(f"c{i}") for i, c in enumerate(texts.columns))).first()
+    return [climb(set(x)) for x in found]
+
+
+def infer(texts: DataFrame, infer_max: int = 0) -> DataFrame:
+    """A frame of text columns with inferred types: of all rows, or of the first ``infer_max``; then later misfits are null."""
+    types = types_of(texts) if not infer_max else column_types([list(r) for r in texts.limit(infer_max).collect()], len(texts.columns))
     return texts.select(*(typed(c, t) for c, t in zip(texts.columns, types)))

@@ -1,4 +1,4 @@
-"""A tree of timed steps with row counts."""
+"""A tree of timed steps with counts of rows and batches (the parts that a result came in)."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ class Step:
     began: float = 0.0
     seconds: float = 0.0
     rows: int | None = None
+    batches: int | None = None
     steps: list[Step] = field(default_factory=list)
 
     @property
@@ -25,6 +26,7 @@ class Step:
 
     def lines(self, depth: int = 0) -> list[str]:
         rows = "" if self.rows is None else f", {self.rows} rows"
+        rows += "" if self.batches is None else f", {self.batches} batches"
         return [f"{'  ' * depth}{self.name}: {self.seconds:.3f} s (own {self.own_seconds:.3f} s){rows}", *(x for s in self.steps for x in s.lines(depth + 1))]
 
 
@@ -52,7 +54,8 @@ class Profiler:
     def counted(self, df: DataFrame, step: Step) -> tuple[DataFrame, Observation]:
         """The frame with its rows counted while an action runs it: no extra pass."""
         seen = Observation(f"{step.name}-{id(step)}")
-        return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+        part = F.spark_partition_id()
+        return df.observe(seen, F.count(F.lit(1)).alias("rows"), F.max(part).alias("last")), seen
 
     def run(self, name: str, df: DataFrame, action) -> object:
         """``action`` on the frame as a step with its time and rows."""
@@ -60,6 +63,7 @@ class Profiler:
             counted, seen = self.counted(df, step)
             result = action(counted)
             step.rows = seen.get["rows"]
+            step.batches = 0 if seen.get["last"] is None else seen.get["last"] + 1
         return result
 
     def stop(self) -> Step:

@@ -12,7 +12,7 @@ from millrace.cache import CacheOptions, DurableCache, MemoryCache
 from millrace.common import shared_dir, table
 from millrace.context import EngineContext
 from millrace.sources import database, memory
-from millrace.sources.options import CsvOptions
+from millrace.sources.options import CsvOptions, ParquetOptions
 from millrace.streaming.windows import tumbling_counts
 from millrace.workbook import Query, TableReference, Workbook
 
@@ -62,6 +62,85 @@ def json_nested_text(spark: SparkSession, d: str) -> DataFrame:
     return context.sql("SELECT n_nationkey, pair FROM t")
 
 
+def _written(spark: SparkSession, lines: DataFrame) -> str:
+    """A folder of text files with these lines, one file each partition."""
+    path = _place(spark)
+    lines.write.text(path)
+    return path
+
+
+def csv_late_value(spark: SparkSession, d: str) -> DataFrame:
+    """A value that first shows far down the file still decides its column's type, and none is lost."""
+    key = F.col("o_orderkey")
+    rows = table(spark, d, "orders").coalesce(1).orderBy(key)
+    text = rows.select(F.concat_ws(",", key, F.when(key == 901, "late").otherwise((key % 7).cast("string")), F.when(key % 1000 == 999, "1.5").otherwise("2")).alias("value"))
+    context = EngineContext(spark)
+    context.register_csv("t", _written(spark, text), options=CsvOptions(header=False))
+    return context.sql("SELECT column_2 AS kind, sum(column_3) AS total, count(*) AS n FROM t GROUP BY column_2")
+
+
+def csv_multiline(spark: SparkSession, d: str) -> DataFrame:
+    """Line breaks, quotes and delimiters inside quotes come back as they were; nobody has to say that there are any."""
+    path, context = _place(spark), EngineContext(spark)
+    note = F.concat(F.col("c_name"), F.lit('\nsaid "yes", twice'))
+    sinks.write_csv(table(spark, d, "customer").select("c_custkey", note.alias("note"), "c_acctbal"), path)
+    context.register_csv("t", path)
+    return context.sql("SELECT c_custkey, note, c_acctbal FROM t")
+
+
+def json_late_property(spark: SparkSession, d: str) -> DataFrame:
+    """A property that only a late line has is a column."""
+    key = F.col("o_orderkey")
+    late = F.when(key >= 901, F.format_string(', "late": %d', key)).otherwise("")
+    lines = table(spark, d, "orders").coalesce(1).orderBy(key).select(F.concat(F.lit('{"id": '), key.cast("string"), late, F.lit("}")).alias("value"))
+    context = EngineContext(spark)
+    context.register_json("t", _written(spark, lines))
+    return context.sql("SELECT count(*) AS n, count(late) AS n_late, sum(late) AS total FROM t")
+
+
+def json_trailing_comma(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with comments and with commas before closing brackets are read; a comma inside a string stays."""
+    lines = table(spark, d, "nation").select(F.format_string('{"k": %d, "name": "%s, ]x,}", /* a note */ "r": [%d, ],}', "n_nationkey", "n_name", "n_regionkey").alias("value"))
+    context = EngineContext(spark)
+    context.register_json("t", _written(spark, lines))
+    return context.sql("SELECT k, name, r FROM t")
+
+
+def avro_decimals(spark: SparkSession, d: str) -> DataFrame:
+    path, context = _place(spark), EngineContext(spark)
+    sinks.write_avro(table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").cast("decimal(12,2)").alias("balance")), path)
+    context.register_avro("t", path)
+    return context.sql("SELECT c_custkey, cast(balance * 2 AS double) AS twice FROM t WHERE balance < 0 OR balance > 5000")
+
+
+def parquet_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Files with different columns read as one table."""
+    path, context = _place(spark), EngineContext(spark)
+    sinks.write_parquet(table(spark, d, "nation").select("n_nationkey", "n_name"), f"{path}/a")
+    sinks.write_parquet(table(spark, d, "nation").select("n_nationkey", "n_regionkey"), f"{path}/b")
+    context.register_parquet("t", f"{path}/a", f"{path}/b", options=ParquetOptions(merge_schema=True))
+    return context.sql("SELECT n_nationkey, max(n_name) AS n_name, max(n_regionkey) AS n_regionkey, count(*) AS n FROM t GROUP BY n_nationkey")
+
+
+def writers(spark: SparkSession, d: str) -> DataFrame:
+    """One frame to writers of every kind and back from each."""
+    path, context = _place(spark), EngineContext(spark)
+    rows = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    sinks.write_all(rows, *(sinks.FileWriter(f, f"{path}/{f}") for f in ("csv", "json", "parquet", "avro")), sinks.MemoryWriter(context, "memory"))
+    for f in ("csv", "json", "parquet", "avro"):
+        getattr(context, f"register_{f}")(f, f"{path}/{f}")
+    return context.sql(" UNION ALL ".join(f"SELECT '{f}' AS format, count(*) AS n, round(sum(s_acctbal), 2) AS total, max(s_name) AS last FROM {f}" for f in ("csv", "json", "parquet", "avro", "memory")))
+
+
+def profiled(spark: SparkSession, d: str) -> DataFrame:
+    """What the profiler counts of a query while it runs."""
+    context = EngineContext(spark)
+    context.register_parquet("orders", f"{d}/orders.parquet")
+    rows, step = context.run("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey")
+    assert step.rows == len(rows) and step.batches and step.seconds >= sum(s.seconds for s in step.steps) > 0
+    return spark.createDataFrame([(step.name, step.rows)], "name string, rows bigint")
+
+
 def parquet_round_trip(spark: SparkSession, d: str) -> DataFrame:
     path, context = _place(spark), EngineContext(spark)
     sinks.write_parquet(table(spark, d, "orders"), path, partition_by=["o_orderstatus"])
@@ -125,6 +204,17 @@ def jdbc_source(spark: SparkSession, d: str) -> DataFrame:
     return context.sql("SELECT n_regionkey, count(*) AS n FROM t GROUP BY n_regionkey")
 
 
+def jdbc_split(spark: SparkSession, d: str) -> DataFrame:
+    """A query read in four ranges of a column at once, described by a table reference."""
+    address, driver = f"jdbc:derby:memory:m{uuid.uuid4().hex};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    database.write(table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), database.Jdbc(address=address, driver=driver), "customer_copy", mode="overwrite")
+    reference = TableReference("t", "database", "select * from customer_copy", options={"system": "jdbc", "address": address, "driver": driver, "split": ["c_custkey", 0, 1500, 4]})
+    context = EngineContext(spark)
+    TableReference.from_json(reference.to_json()).build(context)
+    assert context.table("t").rdd.getNumPartitions() == 4
+    return context.sql("SELECT c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM t GROUP BY c_nationkey")
+
+
 def workbook_chain(spark: SparkSession, d: str) -> DataFrame:
     book = Workbook(
         [TableReference("orders", "parquet", f"{d}/orders.parquet"), TableReference("customer", "parquet", f"{d}/customer.parquet", "SELECT c_custkey, c_mktsegment FROM customer")],
@@ -175,7 +265,7 @@ def hourly_events(spark: SparkSession, d: str) -> DataFrame:
     return tumbling_counts(table(spark, d, "events")).select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (csv_round_trip, csv_directory, csv_headerless, json_round_trip, json_nested_text, parquet_round_trip, avro_round_trip, memory_table, memory_writer, multi_source, file_query_source, nested_query_source, generic_reader, jdbc_source, workbook_chain, durable_cache, memory_cache, type_inference, explain_rows, hourly_events)}
+QUERIES = {f.__name__: f for f in (csv_round_trip, csv_directory, csv_headerless, csv_late_value, csv_multiline, json_round_trip, json_late_property, json_trailing_comma, avro_decimals, parquet_merged, writers, profiled, jdbc_split, json_nested_text, parquet_round_trip, avro_round_trip, memory_table, memory_writer, multi_source, file_query_source, nested_query_source, generic_reader, jdbc_source, workbook_chain, durable_cache, memory_cache, type_inference, explain_rows, hourly_events)}
 
 SQL = {
     "csv_round_trip": _SUMS_SQL,
@@ -185,6 +275,15 @@ SQL = {
     "json_nested_text": "SELECT n_nationkey, '[' || n_regionkey || ',' || n_nationkey || ']' AS pair FROM nation",
     "parquet_round_trip": _SUMS_SQL,
     "avro_round_trip": _SUMS_SQL,
+    "csv_late_value": "SELECT CASE WHEN o_orderkey = 901 THEN 'late' ELSE CAST(o_orderkey % 7 AS VARCHAR) END AS kind, sum(CASE WHEN o_orderkey % 1000 = 999 THEN 1.5 ELSE 2.0 END) AS total, count(*) AS n FROM orders GROUP BY 1",
+    "csv_multiline": "SELECT c_custkey, c_name || chr(10) || 'said \"yes\", twice' AS note, c_acctbal FROM customer",
+    "json_late_property": "SELECT count(*) AS n, count(CASE WHEN o_orderkey >= 901 THEN 1 END) AS n_late, CAST(sum(CASE WHEN o_orderkey >= 901 THEN o_orderkey END) AS BIGINT) AS total FROM orders",
+    "json_trailing_comma": "SELECT n_nationkey AS k, n_name || ', ]x,}' AS name, '[' || n_regionkey || ']' AS r FROM nation",
+    "avro_decimals": "SELECT c_custkey, CAST(CAST(c_acctbal AS DECIMAL(12,2)) * 2 AS DOUBLE) AS twice FROM customer WHERE CAST(c_acctbal AS DECIMAL(12,2)) < 0 OR CAST(c_acctbal AS DECIMAL(12,2)) > 5000",
+    "parquet_merged": "SELECT n_nationkey, n_name, n_regionkey, CAST(2 AS BIGINT) AS n FROM nation",
+    "writers": " UNION ALL ".join(f"SELECT '{f}' AS format, count(*) AS n, round(sum(s_acctbal), 2) AS total, max(s_name) AS last FROM supplier" for f in ("csv", "json", "parquet", "avro", "memory")),
+    "profiled": "SELECT 'query' AS name, count(DISTINCT o_custkey) AS rows FROM orders",
+    "jdbc_split": "SELECT c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY c_nationkey",
     "memory_table": "SELECT * FROM (VALUES (1, 'red', 3.0), (2, NULL, 5.0), (3, 'blue', NULL)) t(id, color, twice)",
     "memory_writer": "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey",
     "multi_source": "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority",

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import datetime
+import decimal
 import json
 import os
 import struct
@@ -27,6 +28,7 @@ from millrace.sources.options import AvroOptions
 
 MAGIC = b"Obj\x01"
 _EPOCH = datetime.datetime(1970, 1, 1)
+_WIDE = decimal.Context(prec=80)
 _DAY = datetime.date(1970, 1, 1)
 
 
@@ -92,7 +94,7 @@ def decode(schema, f, named: dict):
     if kind == "double":
         return struct.unpack("<d", f.read(8))[0]
     if kind == "bytes":
-        return _bytes(f)
+        return _number(_bytes(f), schema)
     if kind == "string":
         return _bytes(f).decode()
     if kind == "record":
@@ -100,7 +102,7 @@ def decode(schema, f, named: dict):
     if kind == "enum":
         return schema["symbols"][_long(f)]
     if kind == "fixed":
-        return f.read(schema["size"])
+        return _number(f.read(schema["size"]), schema)
     if kind == "array":
         return [decode(schema["items"], f, named) for _ in _blocks(f)]
     if kind == "map":
@@ -108,6 +110,13 @@ def decode(schema, f, named: dict):
     raise ValueError(f"unknown type {kind}")
 
 
+def _number(raw: bytes, schema):
+    """The decimal that bytes stand for, if the schema says so."""
+    if isinstance(schema, dict) and schema.get("logicalType") == "decimal":
+        return decimal.Decimal(int.from_bytes(raw, "big", signed=True)).scaleb(-schema.get("scale", 0), _WIDE)
+    return raw
+
+
 def _names(schema, named: dict) -> dict:
     if isinstance(schema, list):
         for s in schema:
@@ -144,6 +153,8 @@ def _plain_type(schema) -> T.DataType:
         return T.DateType()
     if kind == "long" and logical and "timestamp" in logical:
         return T.TimestampType()
+    if kind in ("bytes", "fixed") and logical == "decimal" and schema["precision"] <= 38:
+        return T.DecimalType(schema["precision"], schema.get("scale", 0))
     if isinstance(kind, (dict, list)):
         return _plain_type(kind)
     return {"boolean": T.BooleanType(), "int": T.IntegerType(), "long": T.LongType(), "float": T.FloatType(), "double": T.DoubleType()}.get(kind, T.StringType())
@@ -164,6 +175,10 @@ def _cell(value, kind: T.DataType):
 _ARROW = {"boolean": pa.bool_(), "integer": pa.int32(), "long": pa.int64(), "float": pa.float32(), "double": pa.float64(), "date": pa.date32(), "timestamp": pa.timestamp("us", "UTC"), "string": pa.string()}
 
 
+def _arrow(kind: T.DataType) -> pa.DataType:
+    return pa.decimal128(kind.precision, kind.scale) if isinstance(kind, T.DecimalType) else _ARROW[kind.typeName()]
+
+
 # ---- reading
 
 
@@ -220,7 +235,7 @@ def rows_of(uri: str, start: int, end: int) -> Iterator[dict]:
 
 def _read_splits(kinds: T.StructType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target = pa.schema([pa.field(k.name, _ARROW[k.dataType.typeName()]) for k in kinds])
+        target = pa.schema([pa.field(k.name, _arrow(k.dataType)) for k in kinds])
 
         def batch(rows):
             return pa.RecordBatch.from_arrays([pa.array([_cell(r.get(k.name), k.dataType) for r in rows], t.type) for k, t in zip(kinds, target)], schema=target)
@@ -261,6 +276,8 @@ def _avro_type(kind: T.DataType):
         return {"type": "int", "logicalType": "date"}
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return {"type": "long", "logicalType": "timestamp-micros"}
+    if isinstance(kind, T.DecimalType):
+        return {"type": "bytes", "logicalType": "decimal", "precision": kind.precision, "scale": kind.scale}
     names = {T.BooleanType: "boolean", T.ByteType: "int", T.ShortType: "int", T.IntegerType: "int", T.LongType: "long", T.FloatType: "float", T.DoubleType: "double", T.BinaryType: "bytes"}
     return names.get(type(kind), "string")
 
@@ -274,6 +291,11 @@ def encode(kind, value, out: bytearray) -> None:
     if isinstance(kind, dict):
         if kind["logicalType"] == "date":
             _put_long(out, (value - _DAY).days)
+        elif kind["logicalType"] == "decimal":
+            whole = int(value.scaleb(kind["scale"], _WIDE))
+            raw = whole.to_bytes(whole.bit_length() // 8 + 1, "big", signed=True)
+            _put_long(out, len(raw))
+            out += raw
         else:
             _put_long(out, (value.replace(tzinfo=None) - _EPOCH) // datetime.timedelta(microseconds=1))
     elif kind == "boolean":
@@ -299,7 +321,7 @@ def _write_part(columns: list[tuple[str, object]], uri: str, codec: str):
             if not batch.num_rows:
                 continue
             if wrote is None:
-                wrote = system.open_output_stream(f"{folder}/_temporary/{name}")
+                wrote = system.open_output_stream(f"{folder}/{name}")
                 head = bytearray(MAGIC)
                 _put_long(head, 2)
                 for k, v in (("avro.schema", schema), ("avro.codec", codec.encode())):
@@ -324,13 +346,26 @@ def _write_part(columns: list[tuple[str, object]], uri: str, codec: str):
     return run
 
 
-def write_avro(df: DataFrame, path: str, codec: str = "deflate") -> None:
+def write_avro(df: DataFrame, path: str, codec: str = "deflate", *, mode: str = "error") -> None:
     """One file per partition with rows. Files are written aside and moved when their task has succeeded, so a task that is
-    run again leaves nothing behind; only the files' names come to the driver."""
+    run again leaves nothing behind; only the files' names come to the driver. ``mode`` (error, append, overwrite, ignore)
+    says what happens where the folder exists; what is overwritten goes when the new files are there."""
+    if mode not in ("error", "append", "overwrite", "ignore"):
+        raise ValueError(f"mode {mode!r} is not one of error, append, overwrite, ignore")
     system, folder = _open(path)
-    system.create_dir(f"{folder}/_temporary", recursive=True)
+    there = system.get_file_info(folder).type != fs.FileType.NotFound
+    if there and mode == "ignore":
+        return
+    if there and mode == "error":
+        raise FileExistsError(f"{path} exists")
+    old = [x.path for x in system.get_file_info(fs.FileSelector(folder)) if x.path.lower().endswith(".avro")] if there and mode == "overwrite" else []
+    aside = f"{folder}/_temporary-{uuid.uuid4().hex}"
+    system.create_dir(aside, recursive=True)
     columns = [(f.name, _avro_type(f.dataType)) for f in df.schema]
     uri = path if "://" in path or path.startswith("file:") else folder
-    for (name,) in df.mapInArrow(_write_part(columns, uri, codec), "name string").collect():
-        system.move(f"{folder}/_temporary/{name}", f"{folder}/{name}")
-    system.delete_dir(f"{folder}/_temporary")
+    written = [name for (name,) in df.mapInArrow(_write_part(columns, f"{uri}/{aside.rsplit('/', 1)[1]}", codec), "name string").collect()]
+    for x in old:
+        system.delete_file(x)
+    for name in written:
+        system.move(f"{aside}/{name}", f"{folder}/{name}")
+    system.delete_dir(aside)

@@ -7,15 +7,27 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class CsvOptions:
+    """``infer_max``: rows looked at for types, 0 for all of them. ``multiline``: whether quoted values hold line breaks; None looks."""
+
     delimiter: str = ","
     header: bool = True
-    infer_max: int = 100
-    multiline: bool = False
+    infer_max: int = 0
+    multiline: bool | None = None
 
 
 @dataclass(frozen=True)
 class JsonOptions:
-    infer_max: int = 100
+    """``infer_max``: lines looked at for properties and types, 0 for all of them."""
+
+    infer_max: int = 0
+
+
+@dataclass(frozen=True)
+class ParquetOptions:
+    """``merge_schema``: columns of all files instead of one; ``glob``: the names of the files to read, if not all."""
+
+    merge_schema: bool = False
+    glob: str = ""
 
 
 @dataclass(frozen=True)

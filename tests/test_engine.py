@@ -67,20 +67,31 @@ def test_like_classes(context, pattern, yes, no):
     assert context.sql("select 'B' ilike '[a-c]' as x").collect()[0][0] is True
 
 
-@pytest.mark.parametrize(
-    ("text", "kind"),
-    [('"test"', "string"), ("unknown", "string"), ("true", "boolean"), ("1", "bigint"), ("1.2", "double"), ("2001-02-03", "date"), ("2001-02-03T11:22:33", "timestamp"), ("2001-02-03T11:22:33.123456789", "timestamp"), ("Wed, 1 Jan 2020 06:21:15 GMT", "timestamp"), ("", None), (None, None)],
-)
-def test_ladder(text, kind):
-    assert infer.value_type(text) == kind
+RUNGS = [
+    ("False", "boolean"), ("-40", "bigint"), ("007", "bigint"), ("-.5e3", "double"), ("12.", "double"), ("1999-12-31", "date"), ("1999-12-31 23:59", "timestamp"), ("2024-02-29T00:00:01.25Z", "timestamp"),
+    ("3 Mar 2021 04:05:06 GMT", "timestamp"), ("Sun, 07 Nov 2021 10:00:00 GMT", "timestamp"), ("12 apples", "string"), ("1,5", "string"), ("truely", "string"), ("  ", None),
+]
 
 
-def test_ladder_only_climbs(spark):
-    assert infer.column_types([["true", "1", "1", "x", ""], ["1", "1.5", "2020-01-01", "1", ""]], 5) == ["bigint", "double", "date", "string", "string"]
-    df = infer.infer(spark.createDataFrame([("1", "Wed, 1 Jan 2020 06:21:15 GMT"), ("x1", None)], "a string, b string").limit(2), 1)
-    assert dict(df.dtypes) == {"a": "bigint", "b": "timestamp"}
-    rows = df.collect()
-    assert rows[1].a is None and rows[0].b.replace(tzinfo=None) == dt.datetime(2020, 1, 1, 6, 21, 15)
+def test_rungs(spark):
+    """The rung of a value in Python and in the JVM."""
+    assert [infer.value_type(t) for t, _ in RUNGS] == [k for _, k in RUNGS]
+    frame = spark.createDataFrame([(t,) for t, _ in RUNGS], "x string")
+    assert [r[0] for r in frame.select(infer._rung(F.col("x"))).collect()] == [k for _, k in RUNGS]
+
+
+def test_a_type_holds_every_value(spark):
+    columns = [["true", "1"], ["1", "1.5"], ["2.5", "2020-01-01"], ["2020-01-01", "2020-01-01 10:00"], ["x", "1"], ["", ""]]
+    kinds = ["string", "double", "string", "timestamp", "string", "string"]
+    assert infer.column_types([list(r) for r in zip(*columns)], 6) == kinds
+    texts = spark.createDataFrame([*zip(*columns)], ", ".join(f"c{i} string" for i in range(6)))
+    assert infer.types_of(texts) == kinds and infer.types_of(texts.limit(0)) == ["string"] * 6
+    # only a sample that was asked for loses what comes later
+    late = spark.createDataFrame([("1",)] * 150 + [("abc",), ("1.5",)], "a string").coalesce(1)
+    assert infer.infer(late).filter("a is null").count() == 0
+    assert infer.infer(late, 100).filter("a is null").count() == 2
+    mail = infer.infer(spark.createDataFrame([("Wed, 1 Jan 2020 06:21:15 GMT",)], "b string")).first().b
+    assert mail.replace(tzinfo=None) == dt.datetime(2020, 1, 1, 6, 21, 15)
 
 
 def test_csv(spark, tmp_path):
@@ -137,10 +148,156 @@ def test_avro_splits(spark, tmp_path):
 
 @pytest.mark.parametrize("write", [sinks.write_csv, sinks.write_json, sinks.write_parquet])
 def test_writers(spark, tmp_path, write):
-    df = spark.createDataFrame([("red", 1), ("blue", 2), ("green", 3), ("orange", None)], "color string, number bigint")
+    df = spark.createDataFrame([("larch", 12), ("a, b", None), (None, -3), ('say "x"', 0)], "tree string, height bigint")
     write(df, f"{tmp_path}/w")
     read = {"write_csv": files.read_csv, "write_json": files.read_json, "write_parquet": files.read_parquet}[write.__name__](spark, f"{tmp_path}/w")
-    assert sorted(map(str, read.select("color", "number").collect())) == sorted(map(str, df.collect()))
+    assert sorted(map(str, read.select("tree", "height").collect())) == sorted(map(str, df.collect()))
+
+
+def test_json_files_of_a_directory(spark, tmp_path):
+    """Properties of every file, comments, commas before closing brackets, late properties."""
+    (tmp_path / "a.json").write_text("".join(f'{{"a": {i}}}\n' for i in range(150)) + '{"a": 1, "late": "x, ]", }\n')
+    (tmp_path / "b.json").write_text('{"b": [1, 2,], /* c */ "a": 2}\n\n{"b": "q\\"w, }"}\nnot json\n')
+    df = files.read_json_directory(spark, str(tmp_path))
+    assert dict(df.dtypes) == {"a": "bigint", "b": "string", "late": "string"}
+    assert df.filter("late is not null").first().late == "x, ]"
+    assert sorted(r.b for r in df.filter("b is not null").collect()) == ["[1,2]", 'q"w, }']
+    assert df.count() == 154
+
+
+def test_csv_line_breaks_are_found(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('id,note\n1,"a\nb"\n2,c\n')
+    assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "m.csv")).collect()] == [(1, "a\nb"), (2, "c")]
+    (tmp_path / "plain.csv").write_text('id,note\n1,"a ""b"""\n')
+    assert not files._breaks_in_quotes(spark, [str(tmp_path / "plain.csv")])
+
+
+def test_avro_decimals_and_modes(spark, tmp_path):
+    from decimal import Decimal as D
+
+    path = f"file://{tmp_path}/d"
+    df = spark.createDataFrame([(1, D("1.50")), (2, D("-0.01")), (3, None), (4, D("-129.00")), (5, D("99999999999999999999.99"))], "id int, v decimal(22,2)")
+    avro.write_avro(df, path)
+    back = avro.read_avro(spark, path)
+    assert dict(back.dtypes)["v"] == "decimal(22,2)" and sorted(map(str, back.select("id", "v").collect())) == sorted(map(str, df.collect()))
+    with pytest.raises(FileExistsError):
+        avro.write_avro(df, path)
+    avro.write_avro(df, path, mode="ignore")
+    assert avro.read_avro(spark, path).count() == 5
+    avro.write_avro(df, path, mode="append")
+    assert avro.read_avro(spark, path).count() == 10
+    avro.write_avro(df.limit(1), path, mode="overwrite")
+    assert avro.read_avro(spark, path).count() == 1
+    with pytest.raises(ValueError):
+        avro.write_avro(df, path, mode="replace")
+
+
+def test_parquet_options(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/p/a")
+    spark.range(4).withColumn("x", F.lit(1)).write.parquet(f"{tmp_path}/p/b")
+    merged = files.read_parquet(spark, f"{tmp_path}/p/a", f"{tmp_path}/p/b", options=O.ParquetOptions(merge_schema=True))
+    assert merged.columns == ["id", "x"] and merged.count() == 7
+    name = sorted(p.name for p in (tmp_path / "p" / "a").glob("*.parquet"))[0]
+    assert files.read_parquet(spark, f"{tmp_path}/p/a", options=O.ParquetOptions(glob=name)).inputFiles()[0].endswith(name)
+
+
+def test_storages_reach_the_file_systems(spark):
+    O.use(spark, O.S3Storage("bucket-a", "key", "secret", "http://here"))
+    O.use(spark, O.AzureStorage("account", "box", "azure-key"))
+    O.use(spark, O.LocalStorage("/data"))
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    assert conf.get("fs.s3a.bucket.bucket-a.secret.key") == "secret" and conf.get("fs.s3a.bucket.bucket-a.endpoint") == "http://here"
+    assert conf.get("fs.azure.account.key.account.dfs.core.windows.net") == "azure-key"
+
+
+def test_cancellation(spark, context):
+    """Another thread stops what runs under the tag, and nothing else."""
+    import threading
+    import time
+
+    seen = {}
+
+    def stop():
+        until = time.time() + 15
+        while not seen.get("done") and time.time() < until:
+            time.sleep(0.5)
+            context.cancel(seen["tag"])
+        if not seen.get("done"):
+            seen["late"] = True
+            spark.sparkContext.cancelAllJobs()
+
+    with context.cancellable() as tag:
+        seen["tag"] = tag
+        t = threading.Thread(target=stop, daemon=True)
+        t.start()
+        with pytest.raises(Exception, match="(?i)cancel"):
+            spark.range(1 << 38).selectExpr("sum(hash(id) % 7)").collect()
+        seen["done"] = True
+    t.join(10)
+    assert "late" not in seen
+    assert context.sql("select count(*) as n from t").first().n == 3
+
+
+def test_a_query_is_profiled(context):
+    rows, step = context.run("select id from t where id > 1")
+    assert len(rows) == 2 and step.rows == 2 and step.batches >= 1 and [s.name for s in step.steps] == ["plan", "run"]
+    n, step = context.run("select id from t where id > 99", lambda df: len(df.collect()))
+    assert n == 0 and step.rows == 0
+
+
+def test_writers_of_ones_own(spark, context, tmp_path):
+    class Counting:
+        def write(self, df):
+            self.n = df.count()
+
+    own = Counting()
+    sinks.write_all(context.table("t"), own, sinks.FileWriter("csv", f"{tmp_path}/w", {"delimiter": ";"}), sinks.MemoryWriter(context, "copy"))
+    assert own.n == 3 and context.table("copy").count() == 3
+    assert files.read_csv(spark, f"{tmp_path}/w", options=O.CsvOptions(";")).count() == 3
+
+
+def test_cache_providers(spark, tmp_path):
+    """A provider of one's own; the version before the last stays, older ones go."""
+    from millrace.cache import LocalProvider
+
+    cache = DurableCache(spark, CacheOptions("", "k"), provider=LocalProvider(str(tmp_path / "c")))
+    for i in range(4):
+        assert cache.write(spark.range(i)).count() == i
+    assert cache.hit() and cache.read(lambda: None).count() == 3
+    assert len([n for n in cache.storage.names("k") if not n.endswith(".json")]) == 2
+    cache.clear()
+    assert not cache.hit()
+    hadoop = DurableCache(spark, CacheOptions(f"file://{tmp_path}/h", "k"))
+    for i in range(4):
+        hadoop.write(spark.range(i))
+    assert len(hadoop.storage.names("k")) == 3 and hadoop.read(lambda: None).count() == 3
+
+
+def test_table_references_of_every_kind(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "id int, s string")
+    sinks.write_csv(df, f"{tmp_path}/csv", delimiter=";", header=False)
+    sinks.write_json(df, f"{tmp_path}/json")
+    sinks.write_parquet(df, f"{tmp_path}/parquet")
+    sinks.write_avro(df, f"file://{tmp_path}/avro")
+    schema = TableSchema.of(spark.createDataFrame([], "id bigint, s string").schema)
+    for kind in ("csv", "json", "parquet", "avro"):
+        ref = TableReference("t", kind, f"file://{tmp_path}/{kind}", "select * from t where id = 2", schema, options={"delimiter": ";", "header": False} if kind == "csv" else {})
+        got = TableReference.from_json(ref.to_json()).build(EngineContext(spark))
+        assert dict(got.dtypes) == {"id": "bigint", "s": "string"} and [tuple(r) for r in got.select("id", "s").collect()] == [(2, "y")], kind
+
+
+def test_no_cluster_without_a_shared_folder(spark, monkeypatch):
+    from millrace import common
+
+    class Cluster:
+        conf = spark.conf
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Cluster())
+    assert common.shared_dir(spark).startswith("file:")
 
 
 def test_connections():
@@ -189,9 +346,10 @@ def test_workbook(spark, tmp_path):
     results = run.execute_all()
     assert [r.name for r in results] == ["first", "second"]
     assert [tuple(r) for r in results[1].df.collect()] == [("blue", 2)]
+    assert [r.rows for r in results] == [2, 1]
     assert run.execute("first").df.count() == 2  # again: replaced
     run.close()
-    assert [s.name for s in run.profiler.root.steps] == ["first", "second", "first"]
+    assert [(s.name, s.rows) for s in run.profiler.root.steps] == [("first", 2), ("second", 1), ("first", 2)]
 
 
 def test_enforced_limit(spark):
