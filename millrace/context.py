@@ -68,8 +68,8 @@ class EngineContext:
     def register_csv_directory(self, name: str, path: str, options: CsvOptions | None = None) -> DataFrame:
         return self.register(name, files.read_csv_directory(self.spark, path, options))
 
-    def register_json(self, name: str, *paths: str, options: JsonOptions | None = None) -> DataFrame:
-        return self.register(name, files.read_json(self.spark, *paths, options=options))
+    def register_json(self, name: str, *paths: str, options: JsonOptions | None = None, schema: str | None = None) -> DataFrame:
+        return self.register(name, files.read_json(self.spark, *paths, options=options, schema=schema))
 
     def register_json_directory(self, name: str, path: str, options: JsonOptions | None = None) -> DataFrame:
         return self.register(name, files.read_json_directory(self.spark, path, options))

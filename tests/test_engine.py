@@ -289,15 +289,17 @@ def test_table_references_of_every_kind(spark, tmp_path):
 def test_no_cluster_without_a_shared_folder(spark, monkeypatch):
     from millrace import common
 
-    class Cluster:
-        conf = spark.conf
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: default)
 
         class sparkContext:
             master = "spark://host:7077"
 
     with pytest.raises(ValueError):
-        common.shared_dir(Cluster())
-    assert common.shared_dir(spark).startswith("file:")
+        common.shared_dir(Session)
+    Session.sparkContext.master = "local[2]"
+    assert common.shared_dir(Session).startswith("file:")
 
 
 def test_connections():
