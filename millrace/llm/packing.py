@@ -3,8 +3,8 @@
 Only the lengths decide what fits, and there are at most ``capacity`` different ones, so the plan is made from the table of
 lengths and counts, whatever the number of items. Minimum bin slack: a container is begun with the longest length left; a
 bit set of reachable sums over the lengths that remain finds the fill closest to the capacity, and the counts that give it
-are traced back. The fill is used as often as the counts allow, then the next is sought. Every fill uses up a length, so
-their number does not grow with the data.
+are traced back. The fill is used as often as the counts allow, then the next is sought. A fill is used until some length
+has fewer left than the fill takes, so the number of fills depends on the lengths and not on the number of items.
 
 Items of one length are numbered exactly by sliced prefix sums (a length that a third of all items share is split over many
 tasks), and number and plan give the container.

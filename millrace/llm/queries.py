@@ -40,6 +40,25 @@ def p3_small_groups(spark: SparkSession, d: str) -> DataFrame:
     return p3_percentiles(spark, d).filter("n <= 150").drop("rank_error")
 
 
+def p3_rank_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Whether every percentile of every group lies within eps * n ranks of the rank wanted, by counting all values."""
+    values = _by_department_and_job(spark, d).filter("salary is not null").groupBy("kind", F.col("key").alias("k"), "salary").agg(F.count("*").alias("c"))
+    found = p3_percentiles(spark, d)
+    both = values.join(found, (F.col("kind") == F.col("key_kind")) & F.col("k").eqNullSafe(F.col("key")))
+    sums = [x for name in WANTED for x in (F.sum(F.when(F.col("salary") < F.col(name), F.col("c")).otherwise(0)).alias(f"{name}_below"), F.sum(F.when(F.col("salary") <= F.col(name), F.col("c")).otherwise(0)).alias(f"{name}_upto"))]
+    ranked = both.groupBy("key_kind", "key", "n").agg(*sums)
+
+    def within(name: str, p: float):
+        wanted = F.greatest(F.lit(1), F.ceil(F.round(p * F.col("n"), 6)))
+        return ((wanted >= F.col(f"{name}_below") + 1 - EPS * F.col("n")) & (wanted <= F.col(f"{name}_upto") + EPS * F.col("n"))).alias(f"{name}_within")
+
+    return ranked.select("key_kind", "key", "n", *(within(name, p) for name, p in WANTED.items()))
+
+
+_P3_ERRORS_SQL = f"""
+    WITH e AS (SELECT 'department_id' AS key_kind, CAST(department_id AS VARCHAR) AS key, salary FROM db_employees UNION ALL SELECT 'job_id', nullif(upper(trim(job_id)), ''), salary FROM db_employees)
+    SELECT key_kind, key, count(*) AS n, {", ".join(f"true AS {name}_within" for name in WANTED)} FROM e WHERE salary IS NOT NULL GROUP BY 1, 2"""
+
 _P3_SQL = f"""
     WITH e AS (SELECT 'department_id' AS key_kind, CAST(department_id AS VARCHAR) AS key, salary FROM db_employees UNION ALL SELECT 'job_id', nullif(upper(trim(job_id)), ''), salary FROM db_employees),
     r AS (SELECT *, row_number() OVER w AS rank, count(*) OVER (PARTITION BY key_kind, key) AS n FROM e WHERE salary IS NOT NULL WINDOW w AS (PARTITION BY key_kind, key ORDER BY salary))
@@ -98,6 +117,14 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens", CAPACITY).select("doc_id", "part", F.col("length").alias("n_tokens"), "container_id")
 
 
+def p9_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Of the packing: the documents in it, containers over their capacity, documents split though they fit."""
+    placed = p9_containers(spark, d)
+    full = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("n")).agg(F.count_if(F.col("n") > CAPACITY).alias("n_over"))
+    whole = placed.groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum("n_tokens").alias("n"))
+    return whole.agg(F.count("*").alias("n_documents"), F.count_if((F.col("parts") > 1) & (F.col("n") <= CAPACITY)).alias("n_split")).crossJoin(F.broadcast(full))
+
+
 # ---- problem 10
 
 
@@ -112,6 +139,7 @@ def p10_kinds(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p3_percentiles": p3_percentiles,
     "p3_from_days": p3_from_days,
+    "p3_rank_errors": p3_rank_errors,
     "p3_small_groups": p3_small_groups,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
@@ -119,12 +147,15 @@ QUERIES = {
     "p6_ranked": p6_ranked,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
+    "p9_checked": p9_checked,
     "p10_found": p10_found,
     "p10_kinds": p10_kinds,
 }
 
 SQL = {
+    "p3_rank_errors": _P3_ERRORS_SQL,
     "p3_small_groups": _P3_SQL,
+    "p9_checked": "SELECT count(*) AS n_documents, CAST(0 AS BIGINT) AS n_split, CAST(0 AS BIGINT) AS n_over FROM documents",
     "p6_found": f"{_P6} SELECT department_id, employee_id FROM r WHERE rank <= 5",
     "p6_ranked": f"{_P6} SELECT department_id, employee_id, salary, rank FROM r WHERE rank <= 5",
 }
