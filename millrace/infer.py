@@ -6,6 +6,7 @@ holds every value: whole numbers to numbers, days to moments; what mixes otherwi
 
 from __future__ import annotations
 
+import datetime
 import re
 from email.utils import parsedate_to_datetime
 
@@ -24,6 +25,14 @@ _TESTS = [
 ]
 
 
+def _is_day(text: str) -> bool:
+    try:
+        datetime.date.fromisoformat(text)
+    except ValueError:
+        return False
+    return True
+
+
 def value_type(text: str | None) -> str | None:
     """The rung of one value; None for a blank, which tells nothing."""
     if text is None or not text.strip():
@@ -33,7 +42,7 @@ def value_type(text: str | None) -> str | None:
         return "string"
     for name, test in _TESTS:
         if test.fullmatch(text):
-            return name
+            return name if name not in ("date", "timestamp") or _is_day(text[:10]) else "string"
     try:
         parsedate_to_datetime(text)
     except (ValueError, TypeError, IndexError):
@@ -65,7 +74,9 @@ def _rung(text: Column) -> Column:
     clean = F.nullif(F.trim(text), F.lit(""))
     out = F.when(clean.isNull(), None)
     for name, test in _TESTS:
-        out = out.when(clean.rlike(f"^(?:{test.pattern.removeprefix('(?i)')})$" if name != "boolean" else "(?i)^(?:true|false)$"), F.lit(name))
+        shaped = clean.rlike(f"^(?:{test.pattern})$")
+        # a day that doesn't exist is text
+        out = out.when(shaped & clean.try_cast(name).isNotNull() if name in ("date", "timestamp") else shaped, F.lit(name))
     return out.when(_mail_time(clean).isNotNull(), F.lit("timestamp")).otherwise(F.lit("string"))
 
 

@@ -69,7 +69,7 @@ def test_like_classes(context, pattern, yes, no):
 
 RUNGS = [
     ("False", "boolean"), ("-40", "bigint"), ("007", "bigint"), ("-.5e3", "double"), ("12.", "double"), ("1999-12-31", "date"), ("1999-12-31 23:59", "timestamp"), ("2024-02-29T00:00:01.25Z", "timestamp"),
-    ("3 Mar 2021 04:05:06 GMT", "timestamp"), ("Sun, 07 Nov 2021 10:00:00 GMT", "timestamp"), ("12 apples", "string"), ("1,5", "string"), ("truely", "string"), ("  ", None),
+    ("3 Mar 2021 04:05:06 GMT", "timestamp"), ("Sun, 07 Nov 2021 10:00:00 GMT", "timestamp"), ("12 apples", "string"), ("1,5", "string"), ("truely", "string"), ("TRUE", "boolean"), ("2023-02-29", "string"), ("2023-13-01 10:00", "string"), ("  ", None),
 ]
 
 
