@@ -11,10 +11,12 @@ city and postcode agree on; a reading whose texts and postcode point to several
 towards another, a postcode of another town) is put into the block of each.
 
 Then components are assigned. Readings that share a form of the whole name and the kind of street are linked to the least of
-them. Names that share a token only are compared by an assignment of their tokens at least cost, and linked if each token has a
-partner an edit away. An open reading (no kind of street, or no partner in its first locality) is assigned to the one candidate
-locality and kind of street that costs least: order of the evidence, edits of the name, kind missing, records there. The links
-are closed to groups, and the records of a group are the pairs.
+them. Names of as many tokens are compared by an assignment of their tokens at least cost, and linked if each token has a partner
+an edit away. Such names share forms of two tokens at once, whichever two: each name is looked up by its two rarest tokens among
+all pairs of tokens of the others, so none is missed and a frequent word alone brings nothing together. An open reading (no kind
+of street, or no partner in its first locality) is assigned to the one candidate locality and kind of street that costs least:
+order of the evidence, edits of the name or its tokens, kind missing, records there. The links are closed to groups, and the
+records of a group are the pairs.
 
 Defined results: a record without id, street name or house number denotes no known place; nulls, blanks and stand-ins ("-",
 "n/a") are missing values; repeated deliveries of one id count once, with every way they are written; words under four
@@ -274,18 +276,50 @@ def _near(a: str, b: str) -> bool:
     return not forms(a).isdisjoint(forms(b))
 
 
-def same_street(a: list[str], b: list[str]) -> bool:
-    """Whether the tokens of two names are the same, each at most an edit or transposition away, in any order."""
+def tokens_off(a: list[str], b: list[str]) -> int | None:
+    """How many tokens of two names differ, each at most an edit or transposition away, in any order; None if the names are not the same."""
     if len(a) != len(b):
-        return False
+        return None
     far = len(a) + 1
-    return assignment([[0 if x == y else 1 if _near(x, y) else far for y in b] for x in a]) < far
+    cost = assignment([[0 if x == y else 1 if _near(x, y) else far for y in b] for x in a])
+    return int(cost) if cost < far else None
+
+
+def same_street(a: list[str], b: list[str]) -> bool:
+    """Whether the tokens of two names are the same, each at most an edit or transposition away, in any order."""
+    return tokens_off(a, b) is not None
 
 
 def _assign_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose ``tokens`` and ``like`` are the same, with the cost in place of the two."""
     for batch in batches:
-        same = [same_street(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(same, pa.bool_())) for i in (0, 1)], names=["a", "b"])
+        off = pa.array([tokens_off(x, y) for x, y in zip(batch["tokens"].to_pylist(), batch["like"].to_pylist())], pa.int32())
+        kept = batch.drop_columns(["tokens", "like"])
+        yield pa.RecordBatch.from_arrays([*kept.columns, off], names=[*kept.schema.names, "off"]).filter(off.is_valid())
+
+
+def _token_pairs(words: DataFrame, cut: Cut) -> DataFrame:
+    """reading, turn, kind, b, only, off: the readings and those of a first locality (b, of kind ``only``) that are the same by their tokens.
+
+    Two names of one kind and two tokens are the same if they share a key, so each is paired with the least of its key; all others are paired.
+    """
+    name, of = ["block", "size", "reading", "turn", "kind", "tokens"], Window.partitionBy("block", "size", "form")
+    held = words.withColumn("size", F.size("tokens")).select(*name, F.posexplode("tokens").alias("at", "token")).select(*name, "at", F.explode(deletions("token")).alias("form"))
+    held = held.select("*", F.count("*").over(of).alias("m"), F.bit_xor(F.xxhash64("reading", "turn", "tokens", "at")).over(of).alias("holders")).filter("m > 1")
+    # of forms that the same tokens have one will do; a name with a token of its own is like no other
+    held = held.groupBy(*name, "at", "m", "holders").agg(F.min("form").alias("form"))
+    held = held.groupBy(*name, "at").agg(F.sum("m").alias("m"), F.collect_list("form").alias("forms"))
+    held = held.groupBy(*name).agg(F.array_sort(F.collect_list(F.struct("m", "at", "forms"))).alias("held")).filter(F.size("held") == F.col("size"))
+    two = held.select(*name, "held", F.posexplode("held").alias("i", "x")).select(*name, "i", "x", F.posexplode("held").alias("j", "y")).filter("i < j")
+    rarest = ((F.col("i") == 0) & (F.col("j") == 1)).alias("rarest")
+    two = two.select(*name, rarest, "y", F.explode("x.forms").alias("f")).select(*name, "rarest", "f", F.explode("y.forms").alias("g"))
+    keys = cut(two.select(*name, "rarest", F.concat_ws("+", F.least("f", "g"), F.greatest("f", "g")).alias("key")))
+    first = keys.filter("turn = 0").select("block", "size", "key", F.col("reading").alias("b"), F.col("kind").alias("only"), F.col("tokens").alias("like"))
+    first = first.withColumn("least", F.min("b").over(Window.partitionBy("block", "size", "key", "only")))
+    fits = "reading <> b and if(turn = 0, kind = only and reading > b and (size > 2 or b = least) or kind = '' and only <> '', kind = only or kind = '' or only = '')"
+    tried = keys.filter("rarest").join(first, ["block", "size", "key"]).filter(fits).select("reading", "turn", "kind", "b", "only", "tokens", "like").distinct()
+    same = tried.mapInArrow(_assign_tokens, "reading bigint, turn int, kind string, b bigint, only string, off int")
+    return cut(same.groupBy("reading", "turn", "kind", "b", "only").agg(F.min("off").alias("off")))
 
 
 #: Links that one task closes to groups; of more, labels are spread in rounds over all executors.
@@ -342,33 +376,33 @@ def same_places(records: DataFrame, key: str = "location_id", street: str = "str
     reading = F.xxhash64("locality", "number", "unit", "name", "kind")
     read_as = cut(local.select("id", reading.alias("reading"), "locality", "number", "unit", "tokens", "name", "kind", F.when(F.size("places") > 1, F.slice("places", 2, F.size("places"))).alias("others")))
     block = F.xxhash64("locality", "number", "unit").alias("block")
-    parts = ("locality", "number", "unit", "tokens", "name", "kind")
+    parts = ("locality", "number", "unit", "name", "kind")
     readings = cut(read_as.groupBy("reading").agg(*(F.first(c).alias(c) for c in parts), F.count("*").alias("n")))
-    named = readings.join(_street_names(readings, cut), ["locality", "name"], "left").select("reading", F.lit(0).alias("turn"), "tokens", "name", "kind", "n", F.coalesce("usual", "name").alias("usual"), block)
-    other = read_as.filter("others is not null").select("reading", "number", "unit", "tokens", "name", "kind", F.posexplode("others").alias("turn", "locality"))
-    other = other.select("reading", (F.col("turn") + 1).alias("turn"), "tokens", "name", "kind", F.lit(1).cast("bigint").alias("n"), F.col("name").alias("usual"), block).distinct()
-    # forms of the whole name, and of each token where there are several ("+" keeps the two apart)
-    by_token = F.when(F.size("tokens") > 1, F.flatten(F.transform("tokens", lambda t: F.transform(_forms(t), lambda f: F.concat(F.lit("+"), f))))).otherwise(F.array().cast("array<string>"))
-    forms = F.array_distinct(F.concat(deletions("name"), F.array(F.concat(F.lit("="), F.col("usual"))), by_token))
+    named = readings.join(_street_names(readings, cut), ["locality", "name"], "left").select("reading", F.lit(0).alias("turn"), "name", "kind", "n", F.coalesce("usual", "name").alias("usual"), block)
+    other = read_as.filter("others is not null").select("reading", "number", "unit", "name", "kind", F.posexplode("others").alias("turn", "locality"))
+    other = other.select("reading", (F.col("turn") + 1).alias("turn"), "name", "kind", F.lit(1).cast("bigint").alias("n"), F.col("name").alias("usual"), block).distinct()
+    forms = F.array_distinct(F.concat(deletions("name"), F.array(F.concat(F.lit("="), F.col("usual")))))
     index = named.unionByName(other).select("reading", "turn", "name", "kind", "n", "block", F.explode(forms).alias("form"))
     # forms that one reading has for itself, by far the most, go at once; the rest stays where it is
     shared = cut(index.withColumn("all", F.count("*").over(Window.partitionBy("block", "form"))).filter("all > 1").drop("all"))
-    settled, whole = shared.filter("turn = 0"), ~F.col("form").startswith("+")
+    settled = shared.filter("turn = 0")
     # a star instead of all pairs: readings of one kind that share a form are linked to the least of them
-    stars = cut(settled.withColumn("b", F.min("reading").over(Window.partitionBy("block", "form", "kind"))).filter("reading <> b").select(F.col("reading").alias("a"), "b", whole.alias("whole")).distinct())
-    kept = stars.filter("whole").select("a", "b")
-    # stars by a token alone: each reading is compared with the least one that has this token, by its other tokens
-    words = readings.select("reading", "tokens")
-    tried = stars.filter("not whole").select("a", "b").join(words.select(F.col("reading").alias("a"), F.col("tokens").alias("x")), "a").join(words.select(F.col("reading").alias("b"), F.col("tokens").alias("y")), "b")
-    matched = tried.select("a", "b", "x", "y").mapInArrow(_assign_tokens, "a bigint, b bigint")
+    kept = cut(settled.withColumn("b", F.min("reading").over(Window.partitionBy("block", "form", "kind"))).filter("reading <> b").select(F.col("reading").alias("a"), "b").distinct())
+    # one name may be written in several ways of words, which are all tried
+    places = F.concat(F.array("locality"), F.coalesce("others", F.array().cast("array<string>")))
+    words = read_as.filter(F.size("tokens") > 1).select("reading", "number", "unit", "tokens", "kind", F.posexplode(places).alias("turn", "locality"))
+    alike = _token_pairs(words.select("reading", "turn", "tokens", "kind", block).distinct(), cut)
+    matched = alike.filter("turn = 0 and kind = only").select(F.col("reading").alias("a"), "b")
     # open readings go to one candidate only: the locality and kind of street that cost least
-    leads = settled.filter(whole).groupBy("block", "form", F.col("kind").alias("only")).agg(F.min(F.struct("reading", "name")).alias("lead"), F.sum("n").alias("m"))
-    linked = kept.select(F.explode(F.array("a", "b")).alias("reading")).distinct()
-    elsewhere = shared.filter("turn > 0").filter(whole).join(linked, "reading", "left_anti")
-    opened = settled.filter("kind = ''").filter(whole).unionByName(elsewhere.select(settled.columns)).select("block", "form", "reading", "turn", "name", "kind")
+    linked = kept.unionByName(matched).select(F.explode(F.array("a", "b")).alias("reading")).distinct()
+    opened = settled.filter("kind = ''").unionByName(shared.filter("turn > 0").join(linked, "reading", "left_anti").select(settled.columns))
+    leads = settled.select("block", "form", F.col("kind").alias("only"), F.col("reading").alias("b"), F.col("name").alias("like"), F.col("n").alias("m"))
     fits = F.when(F.col("turn") == 0, F.col("only") != "").otherwise((F.col("kind") == F.col("only")) | (F.col("kind") == "") | (F.col("only") == ""))
-    near = opened.join(leads, ["block", "form"]).filter(fits & (F.col("lead.reading") != F.col("reading")))
-    near = cut(near.select("reading", "turn", "only", F.col("lead.reading").alias("b"), F.levenshtein("name", "lead.name").alias("off"), (F.col("kind") != F.col("only")).alias("unlike"), "m").distinct())
+    near = opened.join(leads, ["block", "form"]).filter(fits & (F.col("b") != F.col("reading"))).groupBy("reading", "turn", "kind", "only", "block", "form")
+    near = near.agg(F.min("b").alias("b"), F.min(F.levenshtein("name", "like")).alias("off"), F.sum("m").alias("m")).drop("block", "form")
+    by_tokens = alike.filter("turn = 0 and kind <> only").unionByName(alike.filter("turn > 0").join(linked, "reading", "left_anti").select(alike.columns))
+    by_tokens = by_tokens.join(readings.select(F.col("reading").alias("b"), "n"), "b").withColumn("m", F.sum("n").over(Window.partitionBy("reading", "turn", "only", "off"))).drop("n")
+    near = cut(near.unionByName(by_tokens).withColumn("unlike", F.col("kind") != F.col("only")).drop("kind").distinct())
     chosen = near.groupBy("reading").agg(F.min(F.struct("turn", "off", "unlike", -F.col("m"), "only")).alias("c")).select("reading", "c.turn", "c.only")
     assigned = near.join(chosen, ["reading", "turn", "only"]).select(F.col("reading").alias("a"), "b")
     merged = _groups(kept.unionByName(matched).unionByName(assigned), cut, small)

@@ -88,6 +88,47 @@ def test_streets_of_several_words(spark):
     assert groups(spark, rows) == {(a, b) for a in (1, 2, 3, 6) for b in (1, 2, 3, 6) if a < b}
 
 
+def closed(ids, links):
+    """Every pair of what the links join."""
+    group = {i: {i} for i in ids}
+    for a, b in links:
+        if group[a] is not group[b]:
+            group[a] |= group[b]
+            for i in group[b]:
+                group[i] = group[a]
+    return {(a, b) for a in ids for b in group[a] if a < b}
+
+
+def test_tokens_against_all_pairs(spark):
+    """The least name with a token is often none of those that are the same; no pair may hang on it."""
+    rng = random.Random(5)
+    words = ["olden", "mille", "garten", "plumen", "hasel", "torvik", "brunnel"]
+    typo = lambda w: w[: (i := rng.randrange(1, len(w) - 1))] + rng.choice([w[i + 1 :], w[i + 1] + w[i] + w[i + 2 :]])
+    names = sorted({tuple(typo(w) if rng.random() < 0.3 else w for w in rng.sample(words, rng.choice([2, 2, 3]))) for _ in range(80)})
+    same = [(a, b) for a, b in itertools.combinations(range(len(names)), 2) if A.same_street(names[a], names[b]) or A._near("".join(names[a]), "".join(names[b]))]
+    true = closed(range(len(names)), same)
+    assert len(true) > 30
+    assert groups(spark, [(i, f"7 {' '.join(w)} Road", "02310", "Dimton", "x") for i, w in enumerate(names)]) == true
+
+
+def test_all_ways_to_split_a_name_are_tried(spark):
+    rows = [(10 * i + j, f"{i} {name} Road", "02310", "Dimton", "x") for i in range(100, 120) for j, name in enumerate(["oldenmille", "olden mille", "mille olden"])]
+    assert groups(spark, rows) == {(10 * i + a, 10 * i + b) for i in range(100, 120) for a, b in [(0, 1), (0, 2), (1, 2)]}
+
+
+def test_open_readings_by_tokens(spark):
+    """Without a kind of street, in the order of another name; of a neighbouring locality."""
+    rows = [(1, "7 Olden Mille Road", "02310", "Dimton", "x"), (2, "7 Mille Olden", "02310", "Dimton", "x"), (3, "7 Olden Halle Street", "02310", "Dimton", "x"), (4, "7 Mile Olden", "12310", "Dimtn", "x"), (5, "8 Mille Olden", "02310", "Dimton", "x")]
+    assert groups(spark, BASE + rows) == {(1, 2), (1, 4), (2, 4)}
+
+
+def test_open_readings_cost_least_against_all_candidates(spark):
+    """Two roads and a street share one form with the open name; that the least of the roads is the farther one must not make a street of it."""
+    streets = ["Torbin Road", "Torinx Road", "Torkin Street", "Torvin"]
+    rows = [(10 * i + j, f"{i} {street}", "02310", "Dimton", "x") for i in range(100, 120) for j, street in enumerate(streets)]
+    assert groups(spark, rows) == {(10 * i + a, 10 * i + b) for i in range(100, 120) for a, b in [(0, 1), (0, 3), (1, 3)]}
+
+
 def damaged(rng, number, name, code, city):
     """One way somebody might write an address."""
     typo = lambda w: w[: (i := rng.randrange(1, len(w) - 1))] + rng.choice([w[i + 1 :], w[i] + w[i:], w[i + 1] + w[i] + w[i + 2 :]])
