@@ -14,9 +14,9 @@ Then components are assigned. Readings that share a form of the whole name and t
 them. Names of as many tokens are compared by an assignment of their tokens at least cost, and linked if each token has a partner
 an edit away. Such names share forms of two tokens at once, whichever two: each name is looked up by its two rarest tokens among
 all pairs of tokens of the others, so none is missed and a frequent word alone brings nothing together. An open reading (no kind
-of street, or no partner in its first locality) is assigned to the one candidate locality and kind of street that costs least:
-order of the evidence, edits of the name or its tokens, kind missing, records there. The links are closed to groups, and the
-records of a group are the pairs.
+of street, or in its first locality neither itself nor with a partner that points there alone) is assigned to the one candidate
+locality and kind of street that costs least: order of the evidence, edits of the name or its tokens, kind missing, records there.
+The links are closed to groups, and the records of a group are the pairs.
 
 Defined results: a record without id, street name or house number denotes no known place; nulls, blanks and stand-ins ("-",
 "n/a") are missing values; repeated deliveries of one id count once, with every way they are written; words under four
@@ -393,24 +393,29 @@ def same_places(records: DataFrame, key: str = "location_id", street: str = "str
     words = read_as.filter(F.size("tokens") > 1).select("reading", "number", "unit", "tokens", "kind", F.posexplode(places).alias("turn", "locality"))
     alike = _token_pairs(words.select("reading", "turn", "tokens", "kind", block).distinct(), cut)
     matched = alike.filter("turn = 0 and kind = only").select(F.col("reading").alias("a"), "b")
+    inside = cut(_groups(kept.unionByName(matched), cut, small))
+    # a first locality stands for all readings linked there if a record of one of them points to no other
+    sure = read_as.filter("others is null").select("reading").distinct()
+    holds = sure.join(inside.withColumnRenamed("id", "reading"), "reading").select("group").distinct()
+    settles = cut(inside.join(holds, "group", "left_semi").select(F.col("id").alias("reading")).unionByName(sure).distinct())
     # open readings go to one candidate only: the locality and kind of street that cost least
-    linked = kept.unionByName(matched).select(F.explode(F.array("a", "b")).alias("reading")).distinct()
-    opened = settled.filter("kind = ''").unionByName(shared.filter("turn > 0").join(linked, "reading", "left_anti").select(settled.columns))
+    opened = settled.filter("kind = ''").unionByName(shared.filter("turn > 0").join(settles, "reading", "left_anti").select(settled.columns))
     leads = settled.select("block", "form", F.col("kind").alias("only"), F.col("reading").alias("b"), F.col("name").alias("like"), F.col("n").alias("m"))
     fits = F.when(F.col("turn") == 0, F.col("only") != "").otherwise((F.col("kind") == F.col("only")) | (F.col("kind") == "") | (F.col("only") == ""))
     near = opened.join(leads, ["block", "form"]).filter(fits & (F.col("b") != F.col("reading"))).groupBy("reading", "turn", "kind", "only", "block", "form")
     near = near.agg(F.min("b").alias("b"), F.min(F.levenshtein("name", "like")).alias("off"), F.sum("m").alias("m")).drop("block", "form")
-    by_tokens = alike.filter("turn = 0 and kind <> only").unionByName(alike.filter("turn > 0").join(linked, "reading", "left_anti").select(alike.columns))
+    by_tokens = alike.filter("turn = 0 and kind <> only").unionByName(alike.filter("turn > 0").join(settles, "reading", "left_anti").select(alike.columns))
     by_tokens = by_tokens.join(readings.select(F.col("reading").alias("b"), "n"), "b").withColumn("m", F.sum("n").over(Window.partitionBy("reading", "turn", "only", "off"))).drop("n")
     near = cut(near.unionByName(by_tokens).withColumn("unlike", F.col("kind") != F.col("only")).drop("kind").distinct())
     chosen = near.groupBy("reading").agg(F.min(F.struct("turn", "off", "unlike", -F.col("m"), "only")).alias("c")).select("reading", "c.turn", "c.only")
     assigned = near.join(chosen, ["reading", "turn", "only"]).select(F.col("reading").alias("a"), "b")
-    merged = _groups(kept.unionByName(matched).unionByName(assigned), cut, small)
-    placed = read_as.select("id", "reading").join(merged.withColumnRenamed("id", "reading"), "reading", "left").select("id", F.coalesce("group", "reading").alias("group")).distinct()
-    # deliveries of one id that read differently tie their groups together
+    for end in ("a", "b"):
+        assigned = assigned.join(inside.select(F.col("id").alias(end), "group"), end, "left").withColumn(end, F.coalesce("group", end)).drop("group")
+    placed = read_as.select("id", "reading").join(inside.withColumnRenamed("id", "reading"), "reading", "left").select("id", F.coalesce("group", "reading").alias("group")).distinct()
+    # open readings and deliveries of one id that read differently tie their groups together
     several = cut(placed).withColumn("lowest", F.min("group").over(Window.partitionBy("id")))
     ties = several.filter("group <> lowest").select(F.col("group").alias("a"), F.col("lowest").alias("b"))
-    tied = _groups(ties, cut, small)
+    tied = _groups(ties.unionByName(assigned.filter("a <> b")), cut, small)
     members = several.join(tied.select(F.col("id").alias("group"), F.col("group").alias("top")), "group", "left").select("id", F.coalesce("top", "group").alias("group")).distinct()
     sizes = members.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1").select("group")
     return cut(members.join(sizes, "group").select("id", "group"))

@@ -129,6 +129,14 @@ def test_open_readings_cost_least_against_all_candidates(spark):
     assert groups(spark, rows) == {(10 * i + a, 10 * i + b) for i in range(100, 120) for a, b in [(0, 1), (0, 3), (1, 3)]}
 
 
+@pytest.mark.parametrize(("there", "pairs"), [("AC", "AC"), ("ABC", "AB AC BC"), ("ACD", "AD"), ("ABCD", "AB AD BD"), ("ACE", "AE")])
+def test_open_localities_with_partners(spark, there, pairs):
+    """Readings between two localities go to the second one, alone or several, unless a record that points to the first alone is the same."""
+    near = [(100 + i, f"{i} Kolpu Road", "02310", "Dimton", "Shire") for i in range(20, 30)] + [(200 + i, f"{i} Kolpu Road", "12310", "Dimtor", "Coast") for i in range(20, 25)]
+    known = {"A": ("7 High Road", None, "Dimto", None), "B": ("7 Hihg Road", None, "Dimto", None), "C": ("7 High Road", "12310", "Dimtor", None), "D": ("7 High Road", "02310", "Dimton", None), "E": ("7 Hihg Road", "02310", "Dimton", None)}
+    assert groups(spark, near + [(ord(x), *known[x]) for x in there]) == {(ord(a), ord(b)) for a, b in pairs.split()}
+
+
 def damaged(rng, number, name, code, city):
     """One way somebody might write an address."""
     typo = lambda w: w[: (i := rng.randrange(1, len(w) - 1))] + rng.choice([w[i + 1 :], w[i] + w[i:], w[i + 1] + w[i] + w[i + 2 :]])
