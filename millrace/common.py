@@ -17,13 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether the driver's process is the only one."""
+    return bool(re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset a local master has a temporary one (tests); a cluster has none, so that is an error."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+    if not is_local(spark):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="millrace-")
